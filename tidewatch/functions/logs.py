@@ -16,12 +16,12 @@ def valid_ipv4(ip: Column) -> Column:
 
 
 def ip_number(ip: Column) -> Column:
-    """Dotted quad as a number; null where it is not a valid address."""
+    """Dotted quad as a number; the address must be valid."""
     octets = F.split(ip, r"\.")
     value = F.lit(0).cast("long")
     for i in range(4):
         value = value * 256 + F.get(octets, F.lit(i)).try_cast("long")
-    return F.when(valid_ipv4(ip), value)
+    return value
 
 
 def log_minute(date: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ip_number, log_bytes, log_minute, null_literal, valid_ipv4
-from tidewatch.operators.ordered import running
-from tidewatch.session import BROADCAST_ROWS, is_small
+from tidewatch.operators.ordered import has_hot_key, running
+from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, is_small
 
 # Fixed value: the accepted log line.
 LOG_LINE = (r'^(\S+) (\S+) (\S+) \[([\w:/]+\s[+\-]\d{4})\] '
@@ -110,11 +110,17 @@ def running_status(df: DataFrame, order: list[str], *, zero_based: bool = True,
     return out.withColumn("count", F.col("count") - 1) if zero_based else out
 
 
-def running_geo(df: DataFrame, order: list[str], **kw) -> DataFrame:
+def running_geo(df: DataFrame, order: list[str], *, hot: bool | None = None,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per located row: rows so far in its country and in its city."""
     one = F.lit(1).cast("long")
-    out = running(df, ["country"], order, {"country_total": one}, **kw)
-    return running(out, ["country", "city"], order, {"city_total": one}, **kw)
+    if hot is None:
+        hot = has_hot_key(df, ["country"], hot_rows)
+    # A city is no larger than its country.
+    city_hot = hot and has_hot_key(df, ["country", "city"], hot_rows)
+    kw = {"hot_rows": hot_rows}
+    out = running(df, ["country"], order, {"country_total": one}, hot=hot, **kw)
+    return running(out, ["country", "city"], order, {"city_total": one}, hot=city_hot, **kw)
 
 
 def volume_by_minute(df: DataFrame) -> DataFrame:

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import clean_text, sentiment_label, split_nonempty
+from tidewatch.functions import clean_text, sentiment_label
 from tidewatch.session import BROADCAST_ROWS, lookup_side
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, word)``: one row per word of the cleaned text, repeats kept."""
-    return df.select(key, F.explode(split_nonempty(clean_text(F.col(text)), " ")).alias("word"))
+    """``(key, word)``: one row per word of the cleaned text, repeats kept.
+
+    The runs of letters and digits are the words of the cleaned text, taken
+    without building it. They are lower-cased one by one, after the choice of
+    characters, as the cleaning does.
+    """
+    words = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return (df.select(key, F.explode(words).alias("word"))
+            .withColumn("word", F.lower("word")))
 
 
 def word_scores(tokens: DataFrame, lexicon: DataFrame, *,

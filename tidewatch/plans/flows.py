@@ -16,15 +16,16 @@ def sentiment_of(posts: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
     return sentiment.classify(posts, key, text, lexicon)
 
 
-def log_branches(log: DataFrame, geo: DataFrame, order: list[str]) -> DataFrame:
+def log_branches(log: DataFrame, geo: DataFrame, order: list[str], *,
+                 hot: bool | None = None) -> DataFrame:
     """Running volume, status and geography counts of one parsed log as one table:
     a row per log row and branch, of located rows only for the geography."""
-    volume = lp.running_volume(log.select("minute", *order), order).withColumn(
+    volume = lp.running_volume(log.select("minute", *order), order, hot=hot).withColumn(
         "tag", F.lit("Volume"))
-    status = (lp.running_status(log.select("response", *order), order)
+    status = (lp.running_status(log.select("response", *order), order, hot=hot)
               .withColumnRenamed("response", "status_code").withColumn("tag", F.lit("Status")))
     located = lp.geo_lookup(log.select("ip", *order), geo).drop("ip")
-    places = lp.running_geo(located, order).withColumn("tag", F.lit("Geo"))
+    places = lp.running_geo(located, order, hot=hot).withColumn("tag", F.lit("Geo"))
     return lp.merge(volume, status, places).select(
         "tag", *order, "country", "city", "country_total", "city_total",
         "status_code", "minute", "count")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 # A short word list of our own.
 LEXICON = [("the", 1), ("and", 1), ("is", 2), ("no", -2), ("ha", 3), ("die", -3),
            ("stupid", -2), ("pathetic", -2), ("good", 3), ("bad", -3), ("le", -1),
@@ -18,13 +20,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def events(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
+    return spread(table(spark, folder, "events").select(*cols))
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "word string, score int")
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """``(event_id, ts, text)`` with topics in the text."""
-    e = table(spark, folder, "events")
+    e = events(spark, folder, "event_id", "ts", "event_type", "user_id")
     text = F.concat(F.lit("#"), F.col("event_type"), F.lit(" by\t#user"),
                     F.col("user_id").cast("string"), F.lit("\nnow # "), F.col("event_type"))
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), text.alias("text"))
@@ -32,7 +42,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def access_log(spark: SparkSession, folder: str) -> DataFrame:
     """``(event_id, value)``: log lines, some with broken addresses or syntax."""
-    e = table(spark, folder, "events")
+    e = events(spark, folder, "event_id", "ts", "event_type", "user_id", "value")
     eid = F.col("event_id")
     ip = F.concat_ws(".", F.col("user_id") % 256, eid % 300, F.lit(0), eid % 7)
     date = F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss")

@@ -16,6 +16,7 @@ from tidewatch.operators import sentiment as sa
 from tidewatch.operators import trending as tt
 from tidewatch.operators.ordered import has_hot_key
 from tidewatch.plans import flows, inputs
+from tidewatch.session import hot_or_unknown
 from tidewatch.sources import machine_usage, replay
 
 WINDOW, SLIDE, TRACKED = 7200, 600, 12
@@ -48,7 +49,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 # ---- sentiment -----------------------------------------------------------------
 
 def _documents(spark, d):
-    return inputs.table(spark, d, "documents").select("doc_id", "text")
+    return inputs.documents(spark, d)
 
 
 @query
@@ -79,6 +80,11 @@ def _log(spark, d):
     return lp.parse_access_log(inputs.access_log(spark, d))
 
 
+def _hot(spark, d):
+    """Skips measuring the largest key while the whole table is small."""
+    return hot_or_unknown(inputs.table(spark, d, "events"))
+
+
 def _located(spark, d):
     return lp.geo_lookup(_log(spark, d).select("event_id", "ip"), inputs.geo(spark, d))
 
@@ -100,7 +106,8 @@ def lp_geo_lookup(spark, d):
 
 @query
 def lp_volume_running(spark, d):
-    return lp.running_volume(_log(spark, d).select("event_id", "minute"), ["event_id"])
+    return lp.running_volume(_log(spark, d).select("event_id", "minute"), ["event_id"],
+                             hot=_hot(spark, d))
 
 
 @query
@@ -110,7 +117,8 @@ def lp_volume_by_minute(spark, d):
 
 @query
 def lp_status_running(spark, d):
-    return lp.running_status(_log(spark, d).select("event_id", "response"), ["event_id"])
+    return lp.running_status(_log(spark, d).select("event_id", "response"), ["event_id"],
+                             hot=_hot(spark, d))
 
 
 @query
@@ -120,7 +128,7 @@ def lp_status_totals(spark, d):
 
 @query
 def lp_geo_running(spark, d):
-    return lp.running_geo(_located(spark, d).drop("ip"), ["event_id"])
+    return lp.running_geo(_located(spark, d).drop("ip"), ["event_id"], hot=_hot(spark, d))
 
 
 @query
@@ -142,7 +150,8 @@ def lp_split_counts(spark, d):
 
 @query
 def lp_all_branches(spark, d):
-    return flows.log_branches(_log(spark, d), inputs.geo(spark, d), ["event_id"])
+    return flows.log_branches(_log(spark, d), inputs.geo(spark, d), ["event_id"],
+                              hot=_hot(spark, d))
 
 
 # ---- machine outliers ----------------------------------------------------------

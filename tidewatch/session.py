@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive executors and are never recomputed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the checkpoint folder and read them back.
+
+    The rows survive executors and are never recomputed, so values that depend
+    on how rows were partitioned stay fixed; readers fetch only the columns they
+    use.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -47,3 +55,18 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Lookup table for a join: broadcast when its size allows, else as is."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table stored in fewer pieces than there are cores.
+
+    Large tables have many pieces and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def hot_or_unknown(source: DataFrame, limit: int = HOT_ROWS) -> bool | None:
+    """Answer for ``hot`` from the size of a cheap source of the rows: False if all
+    of it is within the limit, else None, which has the largest key measured."""
+    return False if is_small(source, limit) else None
