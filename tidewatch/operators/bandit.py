@@ -8,6 +8,8 @@ running counts per shard, not a loop. Draws are hashes of the event id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import floor_div, hash_draw
 from tidewatch.operators.ordered import has_hot_key, row_index, running
-from tidewatch.session import HOT_ROWS, cut
+from tidewatch.session import HOT_ROWS, cut, lookup_side
 
 # Parameters of the learners.
 MIN_SAMPLES = 30
@@ -108,19 +110,57 @@ def mean_reward(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             .withColumn("mean_int", F.col("mean").cast("long")))
 
 
-def _history(inputs: DataFrame, actions: list[str], hot: bool, hot_rows: int) -> DataFrame:
-    """Add for every row: ``round`` of the shard and, per action ``i``, ``n{i}`` and
-    ``s{i}``, the count and sum of its rewards so far."""
-    is_event = (F.col("tag") == EVENT).cast("long")
-    sums = {"_round": is_event}
+@dataclass
+class Earlier:
+    """What earlier input left behind.
+
+    ``totals(shard, _round, _began, n0, s0, ..)``: events and rewards so far, and
+    the round since which the interval estimator is past sampling;
+    ``histogram(shard, act, bin, count, sum)``; ``rewards(shard, action, _at,
+    _reward)``: past rewards with their number.
+    """
+
+    totals: DataFrame
+    histogram: DataFrame
+    rewards: DataFrame
+
+
+def _sums(actions: list[str]) -> dict[str, Column]:
+    """Per action ``i``: ``n{i}`` counts its rewards, ``s{i}`` adds them up."""
+    sums = {"_round": (F.col("tag") == EVENT).cast("long")}
     for i, a in enumerate(actions):
         hit = (F.col("tag") == REWARD) & (F.col("id") == a)
         sums[f"n{i}"] = hit.cast("long")
         sums[f"s{i}"] = F.when(hit, F.col("value")).otherwise(0).cast("long")
-    out = running(inputs, ["shard"], ORDER, sums, hot=hot, hot_rows=hot_rows)
+    return sums
+
+
+def _history(inputs: DataFrame, actions: list[str], hot_rows: int,
+             earlier: Earlier | None, hot: bool | None) -> DataFrame:
+    """Add for every row: its position in the shard, the shard's ``round`` and the
+    count and sum of each action's rewards so far."""
+    sums = _sums(actions)
+    if hot is None:
+        hot = has_hot_key(inputs, ["shard"], hot_rows)
+    out = running(inputs, ["shard"], ORDER, sums | {"_pos": F.lit(1).cast("long")},
+                  hot=hot, hot_rows=hot_rows)
+    if earlier is not None:
+        before = earlier.totals.select("shard", *[F.col(n).alias(f"_b_{n}") for n in sums])
+        out = out.join(lookup_side(before), "shard", "left").withColumns(
+            {n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in sums}
+        ).drop(*[f"_b_{n}" for n in sums])
     return out.withColumn("round", F.col("_round") + (FIRST_ROUND - 1)).drop("_round")
 
 
+def _ordinals(past: DataFrame, actions: list[str]) -> DataFrame:
+    """Rewards with their number, from 0, within shard and action."""
+    number = F.coalesce(*[F.when(F.col("id") == a, F.col(f"n{i}"))
+                          for i, a in enumerate(actions)]) - 1
+    return past.filter((F.col("tag") == REWARD) & F.col("id").isin(actions)).select(
+        "shard", F.col("id").alias("action"), number.alias("_at"),
+        F.col("value").alias("_reward"))
+
+
 def _draw(seed: str, what: str) -> Column:
     return hash_draw(F.col("id"), f"{seed}:{what}:")
 
@@ -147,6 +187,7 @@ def _decisions(events: DataFrame, action: Column) -> DataFrame:
 
 def random_greedy(inputs: DataFrame, actions: list[str], *, p: float = EXPLORE_PROBABILITY,
                   c: float = EXPLORE_CONSTANT, decay: str = "linear", seed: str = "greedy",
+                  earlier: Earlier | None = None, hot: bool | None = None,
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Random action if ``probability < draw``, else the best truncated mean.
 
@@ -155,8 +196,8 @@ def random_greedy(inputs: DataFrame, actions: list[str], *, p: float = EXPLORE_P
     """
     if decay not in ("linear", "log_linear"):
         raise ValueError(f"unknown decay {decay!r}")
-    hot = has_hot_key(inputs, ["shard"], hot_rows)
-    events = _history(inputs, actions, hot, hot_rows).filter(F.col("tag") == EVENT)
+    events = (_history(inputs, actions, hot_rows, earlier, hot)
+              .filter(F.col("tag") == EVENT))
     falling = F.lit(p * c) / F.col("round")
     if decay == "log_linear":
         falling = F.lit(p * c) * F.log("round") / F.col("round")
@@ -170,19 +211,18 @@ def random_greedy(inputs: DataFrame, actions: list[str], *, p: float = EXPLORE_P
 
 def sampler(inputs: DataFrame, actions: list[str], *, min_samples: int = SAMPLER_MIN_SAMPLES,
             max_reward: int = SAMPLER_MAX_REWARD, optimistic: bool = False,
-            seed: str = "sampler", hot_rows: int = HOT_ROWS) -> DataFrame:
+            seed: str = "sampler", earlier: Earlier | None = None, hot: bool | None = None,
+            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per action draw one of its past rewards (with more than ``min_samples``),
     else a uniform value below ``max_reward``; choose the largest.
 
     ``optimistic`` lifts a drawn reward to the action's truncated mean. The draw
     names a past reward by its number, which an equality join looks up.
     """
-    hot = has_hot_key(inputs, ["shard"], hot_rows)
-    past = _history(inputs, actions, hot, hot_rows)
-    ordinals = past.filter(F.col("tag") == REWARD).select(
-        "shard", F.col("id").alias("action"), F.col("value").alias("_reward"),
-        (F.coalesce(*[F.when(F.col("id") == a, F.col(f"n{i}"))
-                      for i, a in enumerate(actions)]) - 1).alias("_at"))
+    past = _history(inputs, actions, hot_rows, earlier, hot)
+    ordinals = _ordinals(past, actions)
+    if earlier is not None:
+        ordinals = ordinals.unionByName(earlier.rewards)
     asked = past.filter(F.col("tag") == EVENT)
     options = F.array(*[
         F.struct(F.lit(a).alias("action"), F.col(f"n{i}").alias("n"),
@@ -275,7 +315,8 @@ def interval_estimator(inputs: DataFrame, actions: list[str], *,
                        min_samples: int = MIN_SAMPLES, width: int = 1,
                        start: int = CONFIDENCE_START, floor: int = CONFIDENCE_MIN,
                        step: int = CONFIDENCE_STEP, every: int = CONFIDENCE_ROUNDS,
-                       seed: str = "interval", hot_rows: int = HOT_ROWS,
+                       seed: str = "interval", earlier: Earlier | None = None,
+                       hot: bool | None = None, hot_rows: int = HOT_ROWS,
                        slice_rows: int = 100_000) -> DataFrame:
     """Random until every action has ``min_samples`` rewards, then the action with
     the highest upper confidence bound. The limit falls from ``start`` by
@@ -285,29 +326,24 @@ def interval_estimator(inputs: DataFrame, actions: list[str], *,
     of a slice are sums over the slices before it, so all slices are worked on
     side by side.
     """
-    hot = has_hot_key(inputs, ["shard"], hot_rows)
-    past = _history(inputs, actions, hot, hot_rows)
-    seen_all = F.least(*[F.col(f"n{i}") for i in range(len(actions))])
-    ready = (F.col("tag") == EVENT) & (seen_all >= min_samples)
-    act = F.coalesce(*[F.when((F.col("tag") == REWARD) & (F.col("id") == a), F.lit(i))
-                       for i, a in enumerate(actions)], F.lit(-1))
-    pos = F.lit(-1) + F.col("round") - (FIRST_ROUND - 1)
-    for i in range(len(actions)):
-        pos = pos + F.col(f"n{i}")
-    past = cut(past.select("tag", "id", "shard", *ORDER, "round", "value", act.alias("act"),
-                           ready.alias("ready"),
-                           F.floor(F.greatest(pos, F.lit(0)) / F.lit(slice_rows))
-                           .cast("long").alias("slice")))
-    began = (past.filter("ready").groupBy("shard").agg(F.min("round").alias("_began")))
+    past = _history(inputs, actions, hot_rows, earlier, hot)
+    past = cut(past.select("tag", "id", "shard", *ORDER, "round", "value",
+                           _action_number(actions).alias("act"),
+                           _ready(actions, min_samples).alias("ready"),
+                           floor_div(F.col("_pos") - 1, slice_rows).alias("slice")))
+    began = past.filter("ready").groupBy("shard").agg(F.min("round").alias("_began"))
+    if earlier is not None:
+        began = (began.unionByName(earlier.totals.select("shard", "_began"))
+                 .groupBy("shard").agg(F.min("_began").alias("_began")))
     rounds = floor_div(F.col("round") - F.col("_began"), every)
     limit = F.greatest(F.lit(start) - step * rounds, F.lit(floor))
-    rows = (past.join(F.broadcast(began), "shard", "left")
+    rows = (past.join(lookup_side(began), "shard", "left")
             .withColumn("pct", F.when(F.col("ready"), limit).otherwise(-1).cast("int")))
 
     work = rows.filter((F.col("act") >= 0) | F.col("ready")).select(
         "shard", "slice", *ORDER, "act", "value", "pct")
     # Fresh column identities: both sides of the cogroup stem from one table.
-    state = _slice_state(rows, width)
+    state = _slice_state(rows, width, earlier)
     state = state.select(*[F.col(c).alias(c) for c in state.columns])
     n = len(actions)
 
@@ -322,24 +358,61 @@ def interval_estimator(inputs: DataFrame, actions: list[str], *,
     return _decisions(events, choice)
 
 
-def _slice_state(rows: DataFrame, width: int) -> DataFrame:
+def _action_number(actions: list[str]) -> Column:
+    """Number of the action of a reward, -1 for other rows."""
+    return F.coalesce(*[F.when((F.col("tag") == REWARD) & (F.col("id") == a), F.lit(i))
+                        for i, a in enumerate(actions)], F.lit(-1))
+
+
+def _ready(actions: list[str], min_samples: int) -> Column:
+    """Event with enough rewards of every action before it."""
+    counts = [F.col(f"n{i}") for i in range(len(actions))]
+    fewest = F.least(*counts) if len(counts) > 1 else counts[0]
+    return (F.col("tag") == EVENT) & (fewest >= min_samples)
+
+
+def _histograms(rows: DataFrame, width: int, *keys: str) -> DataFrame:
+    return (rows.filter(F.col("act") >= 0)
+            .groupBy("shard", "act", floor_div(F.col("value"), width).alias("bin"), *keys)
+            .agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum")))
+
+
+def _slice_state(rows: DataFrame, width: int, earlier: Earlier | None) -> DataFrame:
     """Histogram at the start of every slice: ``(shard, slice, act, bin, count, sum)``."""
-    own = (rows.filter(F.col("act") >= 0)
-           .groupBy("shard", "act", floor_div(F.col("value"), width).alias("bin"), "slice")
-           .agg(F.count(F.lit(1)).alias("c"), F.sum("value").alias("v")))
-    # One row per slice at most: the table is small next to the input.
+    own = _histograms(rows, width, "slice")
+    if earlier is not None:
+        own = own.unionByName(earlier.histogram.withColumn("slice", F.lit(-1).cast("long")))
+    # One row per slice and bin at most: small next to the input.
     w = Window.partitionBy("shard", "act", "bin").orderBy("slice")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.groupBy("shard").agg(F.max("slice").alias("_end"))
-    spans = (own.withColumns({"count": F.sum("c").over(upto), "sum": F.sum("v").over(upto),
+    spans = (own.withColumns({"count": F.sum("count").over(upto), "sum": F.sum("sum").over(upto),
                               "_next": F.lead("slice").over(w)})
-             .join(F.broadcast(ends), "shard")
+             .join(lookup_side(ends), "shard")
              .withColumn("_next", F.coalesce("_next", "_end"))
              .filter(F.col("_next") > F.col("slice")))
     return spans.select("shard", F.explode(F.sequence(F.col("slice") + 1, "_next")).alias("slice"),
                         "act", "bin", "count", "sum")
 
 
+def later_state(inputs: DataFrame, actions: list[str], earlier: Earlier, *, width: int = 1,
+                min_samples: int = MIN_SAMPLES, hot_rows: int = HOT_ROWS) -> Earlier:
+    """State after ``inputs``, for the input that follows."""
+    past = _history(inputs, actions, hot_rows, earlier, None)
+    sums = _sums(actions)
+    began = (past.groupBy("shard").agg(F.min(F.when(_ready(actions, min_samples),
+                                                    F.col("round"))).alias("_began")))
+    added = (inputs.groupBy("shard").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+             .join(began, "shard"))
+    totals = (added.unionByName(earlier.totals).groupBy("shard")
+              .agg(F.min("_began").alias("_began"), *[F.sum(n).alias(n) for n in sums]))
+    numbered = inputs.withColumn("act", _action_number(actions))
+    histogram = (_histograms(numbered, width).unionByName(earlier.histogram)
+                 .groupBy("shard", "act", "bin")
+                 .agg(F.sum("count").alias("count"), F.sum("sum").alias("sum")))
+    return Earlier(totals, histogram, _ordinals(past, actions))
+
+
 LEARNERS = {
     "interval_estimator": interval_estimator,
     "sampler": sampler,

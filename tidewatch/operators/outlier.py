@@ -93,8 +93,8 @@ def _reach(lam: float, min_score: float) -> int:
 
 def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
                   lam: float = DECAY, min_score: float = 1.0, scope: str = "global",
-                  shard: str | None = None, hot_rows: int = HOT_ROWS,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  shard: str | None = None, carry: DataFrame | None = None,
+                  hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Decayed anomaly profile of every known machine at every tick.
 
     Per observation the machine's profile becomes ``profile * exp(-lam) +
@@ -104,6 +104,8 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     everything (``global``), a shard column (``shard``) or each machine by itself
     (``key``, over the ticks in which it reports). Returns ``(scope, tick,
     machine, anomaly_score, score)``, ``score`` being the last individual one.
+    ``carry`` may hold these rows for the last tick of earlier input, to go on
+    from there.
 
     This needs no pass over all rows in time order. Scores are at least
     ``min_score``, so a profile that starts from zero passes the limit within a
@@ -114,14 +116,23 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     """
     factor = math.exp(-lam)
     limit = RESET_SHARE / (1.0 - factor)
-    reach = _reach(lam, min_score)
+    reach = _reach(lam, min_score) + (1 if carry is not None else 0)
     scope_col = {"global": F.lit(0), "key": F.col(machine),
                  "shard": F.col(shard) if shard else F.lit(None)}[scope]
     keys = ["scope", machine]
-    raw = df.select(scope_col.alias("scope"), F.col(machine), F.col(tick).alias("_tick"), *order,
-                    F.when(F.col("score") >= min_score, F.col("score").cast("double"))
-                    .otherwise(F.raise_error(F.lit("score below min_score"))).alias("score"))
-    obs = cut(raw)
+    checked = (F.when(F.col("score") >= min_score, F.col("score").cast("double"))
+               .otherwise(F.raise_error(F.lit("score below min_score"))))
+    obs = df.select(scope_col.alias("scope"), F.col(machine), F.col(tick).alias("_tick"), *order,
+                    checked.alias("score"), checked.alias("_add"))
+    if carry is not None:
+        # An earlier profile acts like a first observation before the first tick.
+        kinds = {f.name: f.dataType for f in obs.schema}
+        obs = obs.unionByName(carry.select(
+            F.col("scope").cast(kinds["scope"]).alias("scope"), machine,
+            F.col(tick).alias("_tick"),
+            *[F.lit(None).cast(kinds[c]).alias(c) for c in order],
+            "score", F.col("anomaly_score").alias("_add")))
+    obs = cut(obs)
     hot_machine = has_hot_key(obs, keys, hot_rows)
     tick_count = (obs.select("scope", "_tick").distinct().groupBy("scope").count()
                   .agg(F.max("count")).first()[0]) or 0
@@ -133,7 +144,7 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     in_order = ["tick_no", *order]
 
     ahead = bounded_frame(obs, keys, in_order, {
-        "_ahead": lambda w: F.collect_list(F.struct("tick_no", "score")).over(
+        "_ahead": lambda w: F.collect_list(F.struct("tick_no", "_add")).over(
             w.rowsBetween(0, reach - 1)),
         "_seen": lambda w: F.count("tick_no").over(w.rowsBetween(-1, -1)),
     }, before=1, after=reach - 1, hot=hot_machine, hot_rows=hot_rows)
@@ -141,7 +152,7 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
                      (F.col("_seen") > 0).alias("tested"))
 
     def step(acc, x):
-        p = acc["p"] * factor + x["score"]
+        p = acc["p"] * factor + x["_add"]
         hit = F.when(acc["tested"] & (p > limit), x["tick_no"])
         return F.struct(p.alias("p"), F.coalesce(acc["hit"], hit).alias("hit"),
                         F.lit(True).alias("tested"))
@@ -165,7 +176,7 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     # of the others a machine has fewer than ``reach`` per epoch.
     w = (Window.partitionBy(*keys, "_epoch").orderBy(*in_order)
          .rowsBetween(Window.unboundedPreceding, 0))
-    profile = F.aggregate(F.collect_list("score").over(w), F.lit(0.0),
+    profile = F.aggregate(F.collect_list("_add").over(w), F.lit(0.0),
                           lambda acc, s: acc * factor + s)
     calm = (obs.join(epochs.drop("_tick"), ["scope", "tick_no"]).filter(~F.col("_is_reset"))
             .withColumn("_profile", profile)
@@ -187,10 +198,13 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     every = spans.select(*keys, "score", "_profile", "_from", F.explode(F.sequence(
         "tick_no", F.coalesce(F.col("_next") - 1, "_end"))).alias("tick_no"))
     kept = ~F.col("_is_reset") & (F.col("_epoch") == F.col("_from"))
-    return (every.join(epochs, ["scope", "tick_no"])
-            .select("scope", F.col("_tick").alias(tick), machine,
-                    F.when(kept, F.col("_profile")).otherwise(F.lit(0.0))
-                    .alias("anomaly_score"), "score"))
+    out = (every.join(epochs, ["scope", "tick_no"])
+           .select("scope", F.col("_tick").alias(tick), machine,
+                   F.when(kept, F.col("_profile")).otherwise(F.lit(0.0))
+                   .alias("anomaly_score"), "score"))
+    if carry is None:
+        return out
+    return out.join(carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
 
 
 def _reset_ticks(earliest: DataFrame, hot_rows: int, hot: bool,
