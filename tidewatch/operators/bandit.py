@@ -307,7 +307,7 @@ def _bounds_for_slice(rows: pd.DataFrame, state: pd.DataFrame, n_actions: int, w
             counts = counts0 + base + np.cumsum(fresh, axis=0)
             bounds[lo:lo + step, a] = _upper_bounds(
                 counts, bins, sums[lo:lo + step], pct[lo:lo + step], width)
-    result["upper"] = list(bounds)
+    result["upper"] = pd.Series(list(bounds), index=result.index, dtype=object)
     return result
 
 

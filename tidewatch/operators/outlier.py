@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ RESET_SHARE = 0.5
 ALERT_MARGIN = 0.1
 ALERT_UPPER = math.sqrt(2.0)
 
+#: Observations of one scope that a single task may fold.
+FOLD_ROWS = 1_000_000
+
 
 def observation_score(df: DataFrame, tick: str, cpu: str = "cpu", memory: str = "memory",
                       cpu_range=(0.0, 1.0), mem_range=(0.0, 100.0)) -> DataFrame:
@@ -94,7 +99,8 @@ def _reach(lam: float, min_score: float) -> int:
 def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
                   lam: float = DECAY, min_score: float = 1.0, scope: str = "global",
                   shard: str | None = None, carry: DataFrame | None = None,
-                  hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  fold_rows: int = FOLD_ROWS, hot_rows: int = HOT_ROWS,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Decayed anomaly profile of every known machine at every tick.
 
     Per observation the machine's profile becomes ``profile * exp(-lam) +
@@ -107,7 +113,8 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     ``carry`` may hold these rows for the last tick of earlier input, to go on
     from there.
 
-    This needs no pass over all rows in time order. Scores are at least
+    Scopes of at most ``fold_rows`` observations are folded in order. Larger ones
+    need no pass over all rows in time order: scores are at least
     ``min_score``, so a profile that starts from zero passes the limit within a
     fixed number of observations. That gives, for each observation, the tick at
     which a profile starting there would reset; the smallest such tick per tick
@@ -119,7 +126,6 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     reach = _reach(lam, min_score) + (1 if carry is not None else 0)
     scope_col = {"global": F.lit(0), "key": F.col(machine),
                  "shard": F.col(shard) if shard else F.lit(None)}[scope]
-    keys = ["scope", machine]
     checked = (F.when(F.col("score") >= min_score, F.col("score").cast("double"))
                .otherwise(F.raise_error(F.lit("score below min_score"))))
     obs = df.select(scope_col.alias("scope"), F.col(machine), F.col(tick).alias("_tick"), *order,
@@ -133,13 +139,85 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
             *[F.lit(None).cast(kinds[c]).alias(c) for c in order],
             "score", F.col("anomaly_score").alias("_add")))
     obs = cut(obs)
-    hot_machine = has_hot_key(obs, keys, hot_rows)
-    tick_count = (obs.select("scope", "_tick").distinct().groupBy("scope").count()
-                  .agg(F.max("count")).first()[0]) or 0
+    sizes = obs.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"),
+                                     F.count_distinct("_tick").alias("ticks"))
+    rows, tick_count = [x or 0 for x in sizes.agg(F.max("rows"), F.max("ticks")).first()]
     many_ticks = tick_count > hot_rows
-
     # Tick numbers per scope are the positions of the pointer chain.
-    ticks = cut(tick_numbers(obs, "_tick", "scope", hot=many_ticks, hot_rows=hot_rows))
+    ticks = tick_numbers(obs, "_tick", "scope", hot=many_ticks, hot_rows=hot_rows)
+    if rows <= fold_rows:
+        spans = _fold_spans(obs, machine, order, factor, limit)
+        numbered = ticks
+    else:
+        numbered = cut(ticks)
+        spans = _distributed_spans(obs, machine, order, factor, limit, reach, numbered,
+                                   tick_count, scope == "global", hot_rows, block_rows)
+    every = spans.select("scope", machine, "anomaly_score", "score",
+                         F.explode(F.sequence("lo", "hi")).alias("tick_no"))
+    out = (every.join(numbered, ["scope", "tick_no"])
+           .select("scope", F.col("_tick").alias(tick), machine, "anomaly_score", "score"))
+    if carry is None:
+        return out
+    return out.join(carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
+
+
+def _fold_spans(obs: DataFrame, machine: str, order: list[str], factor: float,
+                limit: float) -> DataFrame:
+    """The rule as a fold, for scopes that fit one task: ``(scope, machine, lo, hi,
+    anomaly_score, score)``, a value standing from tick ``lo`` to ``hi``."""
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_tick", *order])
+        tick_of = np.unique(pdf["_tick"].to_numpy(), return_inverse=True)[1]
+        machine_of, names = pd.factorize(pdf[machine])
+        values, epochs, latest = {}, {}, {}
+        resets, over, epoch = [], False, 0
+        rows = zip(tick_of.tolist(), machine_of.tolist(), pdf["_add"].tolist(),
+                   pdf["score"].tolist())
+        now = 0
+        for t, m, add, score in rows:
+            if t != now:
+                if over:
+                    resets.append(now)
+                    over, epoch = False, epoch + 1
+                now = t
+            if m not in values:
+                values[m] = add
+            else:
+                p = values[m] if epochs[m] == epoch else 0.0
+                values[m] = p * factor + add
+                over = over or values[m] > limit
+            epochs[m] = epoch
+            latest[(m, t)] = (values[m], score)
+        if over:
+            resets.append(now)
+        at = pd.DataFrame([(m, t, *v) for (m, t), v in latest.items()],
+                          columns=["m", "lo", "anomaly_score", "score"]).sort_values(["m", "lo"])
+        end = int(tick_of.max()) + 1
+        until = at.groupby("m")["lo"].shift(-1).fillna(end).astype("int64")
+        marks = np.append(np.asarray(resets, dtype="int64"), end)
+        zero_from = np.minimum(marks[np.searchsorted(marks, at["lo"])], until)
+        kept = at.assign(hi=zero_from - 1)
+        zeroed = at.assign(lo=zero_from, hi=until - 1, anomaly_score=0.0)
+        out = pd.concat([kept, zeroed])
+        out = out[out["lo"] <= out["hi"]]
+        return pd.DataFrame({"scope": pdf["scope"].iloc[0], machine: names[out["m"].to_numpy()],
+                             "lo": out["lo"].to_numpy(), "hi": out["hi"].to_numpy(),
+                             "anomaly_score": out["anomaly_score"].to_numpy(),
+                             "score": out["score"].to_numpy()})
+
+    kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
+    return obs.groupBy("scope").applyInPandas(
+        fold, f"scope {kinds['scope']}, `{machine}` {kinds[machine]}, lo long, hi long, "
+              "anomaly_score double, score double")
+
+
+def _distributed_spans(obs: DataFrame, machine: str, order: list[str], factor: float,
+                       limit: float, reach: int, ticks: DataFrame, tick_count: int,
+                       one_scope: bool, hot_rows: int, block_rows: int) -> DataFrame:
+    """The rule without a fold, for scopes of any size; same result."""
+    keys = ["scope", machine]
+    hot_machine = has_hot_key(obs, keys, hot_rows)
+    many_ticks = tick_count > hot_rows
     obs = obs.join(ticks, ["scope", "_tick"]).drop("_tick")
     in_order = ["tick_no", *order]
 
@@ -188,23 +266,24 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
              .join(epochs.select("scope", "tick_no", F.col("_epoch").alias("_from")),
                    ["scope", "tick_no"]))
 
-    # Each value stands until the machine's next one, and is zero from the first
-    # reset on.
     spans = bounded_frame(known, keys, ["tick_no"], {
         "_next": lambda w: F.first("tick_no").over(w.rowsBetween(1, 1))},
         before=0, after=1, hot=many_ticks, hot_rows=hot_rows)
+    # Each value stands until the machine's next one, and is zero from the first
+    # reset on.
     ends = ticks.groupBy("scope").agg(F.max("tick_no").alias("_end"))
-    spans = spans.join(F.broadcast(ends) if scope == "global" else ends, "scope")
-    every = spans.select(*keys, "score", "_profile", "_from", F.explode(F.sequence(
-        "tick_no", F.coalesce(F.col("_next") - 1, "_end"))).alias("tick_no"))
-    kept = ~F.col("_is_reset") & (F.col("_epoch") == F.col("_from"))
-    out = (every.join(epochs, ["scope", "tick_no"])
-           .select("scope", F.col("_tick").alias(tick), machine,
-                   F.when(kept, F.col("_profile")).otherwise(F.lit(0.0))
-                   .alias("anomaly_score"), "score"))
-    if carry is None:
-        return out
-    return out.join(carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
+    spans = spans.join(F.broadcast(ends) if one_scope else ends, "scope")
+    resets_of = epochs.filter("_is_reset").select(
+        "scope", F.col("_epoch").alias("_from"), F.col("tick_no").alias("_reset_at"))
+    spans = spans.join(resets_of, ["scope", "_from"], "left")
+    until = F.coalesce(F.col("_next") - 1, F.col("_end"))
+    zero_from = F.least(F.col("_reset_at"), until + 1)
+    both = F.array(
+        F.struct(F.col("tick_no").alias("lo"), (zero_from - 1).alias("hi"),
+                 F.col("_profile").alias("anomaly_score")),
+        F.struct(zero_from.alias("lo"), until.alias("hi"), F.lit(0.0).alias("anomaly_score")))
+    return (spans.select(*keys, "score", F.inline(both)).filter("lo <= hi")
+            .select(*keys, "lo", "hi", "anomaly_score", "score"))
 
 
 def _reset_ticks(earliest: DataFrame, hot_rows: int, hot: bool,
