@@ -20,14 +20,15 @@ def parse_access_log(df: DataFrame, line: str = "value") -> DataFrame:
     """Replace the log line by its fields; lines that do not match are dropped.
 
     One regular-expression pass writes the wanted groups separated by newlines,
-    which a log line cannot hold, and a plain split takes them apart.
+    which a log line cannot hold, and a plain split takes them apart. The split
+    feeds a generator: the optimizer would push a filter on plain columns down and
+    evaluate the expression again for it.
     """
     fields = F.split(F.regexp_replace(F.col(line), LOG_LINE, "$1\n$4\n$5\n$6\n$7"), "\n")
+    matched = F.filter(F.array(fields), lambda f: F.size(f) == 5)
     kept = [c for c in df.columns if c != line]
-    return (df.select(*kept, fields.alias("_f"))
-            .filter(F.size("_f") == 5)
-            .select(*kept,
-                    F.col("_f")[0].alias("ip"),
+    return (df.select(*kept, F.explode(matched).alias("_f"))
+            .select(*kept, F.col("_f")[0].alias("ip"),
                     F.col("_f")[1].alias("log_timestamp"),
                     log_minute(F.col("_f")[1]).alias("minute"),
                     F.col("_f")[2].alias("request"),

@@ -330,7 +330,8 @@ def flag_topk(df: DataFrame, row_key: list[str], tick: str, score: str,
 
 
 def threshold_alerts(df: DataFrame, row_key: list[str], tick: str, *,
-                     keep_all: bool = False, **kw) -> DataFrame:
+                     keep_all: bool = False, hot: bool | None = None,
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Streams whose anomaly score stands out in their tick.
 
     With the tick ordered by individual ``score`` (then ``row_key``): abnormal if
@@ -339,23 +340,44 @@ def threshold_alerts(df: DataFrame, row_key: list[str], tick: str, *,
     middle and the first stream of that order. Only abnormal rows are returned
     unless ``keep_all``.
     """
+    if hot is None:
+        hot = has_hot_key(df, [tick], hot_rows)
+    ranked = (_crowded_tick_marks if hot else _tick_marks)(df, row_key, tick, hot_rows)
+    s = F.col("anomaly_score")
+    abnormal = ((s > 2 * F.col("_median") - F.col("_low"))
+                & (s > F.col("_low") + 2 * ALERT_UPPER)
+                & (s > ALERT_MARGIN + F.col("_individual")))
+    out = (ranked.withColumn("is_abnormal", abnormal)
+           .drop("_median", "_low", "_individual"))
+    return out if keep_all else abnormal_only(out)
+
+
+def _tick_marks(df: DataFrame, row_key: list[str], tick: str, hot_rows: int) -> DataFrame:
+    """Add median, first and smallest individual score: one shuffle by tick."""
+    whole = Window.partitionBy(tick)
+    order = whole.orderBy("score", *row_key)
+    placed = df.withColumns({
+        "_pos": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole),
+        "_low": F.first("anomaly_score").over(order), "_individual": F.first("score").over(order)})
+    middle = F.when(F.col("_pos") - 1 == F.floor(F.col("_n") / 2), F.col("anomaly_score"))
+    return placed.withColumn("_median", F.max(middle).over(whole)).drop("_pos", "_n")
+
+
+def _crowded_tick_marks(df: DataFrame, row_key: list[str], tick: str,
+                        hot_rows: int) -> DataFrame:
+    """The same for ticks of any size, from aggregates and the distributed order."""
+    df = cut(df)
     first = F.struct("score", *row_key, "anomaly_score")
     ticks = df.groupBy(tick).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_min"))
     placed = row_index(df.select(tick, *row_key, "score", "anomaly_score"), [tick],
-                       ["score", *row_key], "_pos", **kw)
+                       ["score", *row_key], "_pos", hot=True, hot_rows=hot_rows)
     middle = (placed.join(ticks.select(tick, "_n"), tick)
               .filter(F.col("_pos") - 1 == F.floor(F.col("_n") / 2))
               .select(tick, F.col("anomaly_score").alias("_median")))
-    rule = ticks.join(middle, tick).select(
+    marks = ticks.join(middle, tick).select(
         tick, "_median", F.col("_min.anomaly_score").alias("_low"),
         F.col("_min.score").alias("_individual"))
-    s = F.col("anomaly_score")
-    abnormal = ((s > 2 * F.col("_median") - F.col("_low"))
-                & (s > F.col("_low") + 2 * ALERT_UPPER)
-                & (s > ALERT_MARGIN + F.col("_individual")))
-    out = (df.join(rule, tick).withColumn("is_abnormal", abnormal)
-           .drop("_median", "_low", "_individual"))
-    return out if keep_all else abnormal_only(out)
+    return df.join(marks, tick)
 
 
 def abnormal_only(df: DataFrame) -> DataFrame:

@@ -70,9 +70,9 @@ def _decayed(scope: str = "0") -> str:
     zero the scope if one passed the limit. Every machine has a row per tick."""
     return f"""{_SCORED},
 nos AS (SELECT *, {scope} AS scope FROM scored),
-ticks AS (SELECT scope, tick, row_number() OVER (PARTITION BY scope ORDER BY tick) AS t
+ticks AS MATERIALIZED (SELECT scope, tick, row_number() OVER (PARTITION BY scope ORDER BY tick) AS t
   FROM (SELECT DISTINCT scope, tick FROM nos)),
-obs AS (SELECT scope, machine_id, t, count(*) AS k,
+obs AS MATERIALIZED (SELECT scope, machine_id, t, count(*) AS k,
     sum(score * exp(-0.017 * (c - r))) AS d, arg_max(score, r) AS last
   FROM (SELECT nos.*, t, row_number() OVER w AS r,
           count(*) OVER (PARTITION BY nos.scope, machine_id, t) AS c
