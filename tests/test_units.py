@@ -41,9 +41,23 @@ def lexicon(spark):
 ])
 def test_classify(spark, lexicon, text, score, label):
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    row = sa.classify(df, "id", "text", lexicon).first()
-    assert (row["score"], row["sentiment"]) == (score, label)
-    assert all(c.isascii() and (c.isalnum() or c == " ") for c in row["text"])
+    for in_row in (100, 0):
+        row = sa.classify(df, "id", "text", lexicon, in_row=in_row).first()
+        assert (row["score"], row["sentiment"]) == (score, label)
+        assert all(c.isascii() and (c.isalnum() or c == " ") for c in row["text"])
+
+
+def test_both_lookups_agree(spark, folder):
+    from tidewatch.plans import inputs
+
+    docs = inputs.documents(spark, folder)
+    frequent = (sa.tokens(docs, "doc_id", "text").groupBy("word").count()
+                .orderBy(F.col("count").desc(), "word").limit(500)
+                .select("word", (F.length("word") - 4).alias("score")))
+    words = spark.createDataFrame([tuple(r) for r in frequent.collect()], "word string, score int")
+    cols = ["doc_id", "text", "score", "sentiment"]
+    in_row = sa.classify(docs, "doc_id", "text", words)
+    assert rows(in_row, *cols) == rows(sa.classify(docs, "doc_id", "text", words, in_row=0), *cols)
 
 
 def test_tokens_are_those_of_the_cleaned_text(spark):

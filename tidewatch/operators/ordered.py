@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tidewatch.session import HOT_ROWS, cut
+from tidewatch.session import HOT_ROWS, cut, lookup_side
 
 _CHUNK = "_tw_chunk"
 _BLOCK = "_tw_block"
@@ -69,8 +69,9 @@ def running(df: DataFrame, keys: list[str], order: list[str],
               .rowsBetween(Window.unboundedPreceding, 0))
     before = _key_window(keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = chunks.groupBy(*group).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    offsets = totals.select(*group, *[
-        F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_tw_off_{n}") for n in sums])
+    # At most one row per chunk plus one per key.
+    offsets = lookup_side(totals.select(*group, *[
+        F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_tw_off_{n}") for n in sums]))
     out = chunks.withColumns({n: F.sum(e).over(inside) for n, e in sums.items()})
     # Key columns may be null, so the join compares null-safe.
     cond = [out[c].eqNullSafe(offsets[c]) for c in group]

@@ -18,7 +18,7 @@ from tidewatch.operators.ordered import (
     running,
     top_per_group,
 )
-from tidewatch.session import HOT_ROWS, cut
+from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, cut, lookup_side
 
 # Decay per observation, and the share of the largest possible
 # profile that raises a reset.
@@ -42,7 +42,7 @@ def observation_score(df: DataFrame, tick: str, cpu: str = "cpu", memory: str =
     scaled = (df.withColumn("_c", min_max(F.col(cpu), *cpu_range))
               .withColumn("_m", min_max(F.col(memory), *mem_range)))
     centres = scaled.groupBy(tick).agg(F.avg("_c").alias("_cc"), F.avg("_m").alias("_cm"))
-    return (scaled.join(centres, tick)
+    return (scaled.join(lookup_side(centres), tick)
             .withColumn("score", 1.0 + l2_norm(F.col("_c") - F.col("_cc"),
                                                F.col("_m") - F.col("_cm")))
             .drop("_c", "_m", "_cc", "_cm"))
@@ -152,6 +152,8 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
         numbered = cut(ticks)
         spans = _distributed_spans(obs, machine, order, factor, limit, reach, numbered,
                                    tick_count, scope == "global", hot_rows, block_rows)
+    if scope == "global" and tick_count <= BROADCAST_ROWS:
+        numbered = F.broadcast(numbered)
     every = spans.select("scope", machine, "anomaly_score", "score",
                          F.explode(F.sequence("lo", "hi")).alias("tick_no"))
     out = (every.join(numbered, ["scope", "tick_no"])

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import clean_text, sentiment_label
-from tidewatch.session import BROADCAST_ROWS, lookup_side
+from tidewatch.session import BROADCAST_ROWS, is_small, lookup_side
+
+#: Words a lexicon may have to be looked up within the row.
+IN_ROW_WORDS = 20_000
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -16,8 +25,7 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     without building it. They are lower-cased one by one, after the choice of
     characters, as the cleaning does.
     """
-    words = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return (df.select(key, F.explode(words).alias("word"))
+    return (df.select(key, F.explode(_words(text)).alias("word"))
             .withColumn("word", F.lower("word")))
 
 
@@ -39,11 +47,42 @@ def document_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
     return hits.groupBy(key).agg(F.sum("score").alias("score"))
 
 
+def score_in_row(text: str, lexicon: DataFrame) -> Column:
+    """Score of a text as a column expression, for a lexicon of few words.
+
+    The lexicon becomes a constant: an array of small maps, picked by the hash of
+    the word, since a lookup in one large map would read all of it.
+    """
+    size = F.lit(max(1, lexicon.count()))
+    entries = (lexicon.groupBy("word").agg(F.sum("score").alias("score"))
+               .withColumn("slot", F.pmod(F.hash("word"), size)).collect())
+    slots: list[dict[str, int]] = [{} for _ in range(max(1, max(
+        (e["slot"] for e in entries), default=0) + 1))]
+    for e in entries:
+        slots[e["slot"]][e["word"]] = e["score"]
+    table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,bigint>>")
+
+    def add(total: Column, word: Column) -> Column:
+        word = F.lower(word)
+        found = F.try_element_at(F.get(table, F.pmod(F.hash(word), size)), word)
+        return total + F.coalesce(found, F.lit(0).cast("long"))
+
+    return F.aggregate(_words(text), F.lit(0).cast("long"), add)
+
+
 def classify(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
-             limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Replace the text by its cleaned form and add ``score`` and ``sentiment``."""
-    scores = document_score(df, key, text, lexicon, limit=limit)
-    return (df.join(scores, key, "left")
-            .withColumn(text, clean_text(F.col(text)))
-            .withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+             limit: int = BROADCAST_ROWS, in_row: int = IN_ROW_WORDS) -> DataFrame:
+    """Replace the text by its cleaned form and add ``score`` and ``sentiment``.
+
+    With a lexicon of at most ``in_row`` words no row leaves its task. A larger one
+    is joined word by word, and the scores are joined back by ``key``.
+    """
+    if is_small(lexicon, in_row):
+        scored = df.withColumn("score", F.coalesce(score_in_row(text, lexicon),
+                                                   F.lit(0).cast("long")))
+    else:
+        scores = document_score(df, key, text, lexicon, limit=limit)
+        scored = (df.join(scores, key, "left")
+                  .withColumn("score", F.coalesce("score", F.lit(0).cast("long"))))
+    return (scored.withColumn(text, clean_text(F.col(text)))
             .withColumn("sentiment", sentiment_label(F.col("score"))))

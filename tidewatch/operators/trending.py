@@ -20,8 +20,18 @@ def extract_topics(df: DataFrame, text: str, prefix: str = "#") -> DataFrame:
     return df.filter(F.col(text) != "").select(*kept, F.explode(words).alias("word"))
 
 
+def many_slides(df: DataFrame, ts: str, size: int, slide: int,
+                limit: int = HOT_ROWS) -> bool:
+    """True if a word could have more than ``limit`` count changes: it has at most
+    two per slide, so the time range of ``df`` bounds them. Reads only ``ts``."""
+    us = to_micros(F.col(ts))
+    lo, hi = df.agg(F.min(us), F.max(us)).first()
+    return lo is not None and 2 * ((hi - lo) // MICROS + size + 2 * slide) // slide > limit
+
+
 def rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: int = 2,
-                   *, zeros: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   *, zeros: bool = False, hot: bool | None = None,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Occurrences of each word in every window of ``size`` seconds, one window
     per ``slide`` seconds: ``(window_start, window_end, word, count)``.
 
@@ -40,9 +50,8 @@ def rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: in
                 F.struct(past.alias("idx"), F.lit(-1).cast("long").alias("d")))))
              .groupBy("word", "idx").agg(F.sum("d").alias("d")))
 
-    # A word has at most two steps per slide, which bounds its rows by time.
-    lo, hi = df.select(us.alias("us")).agg(F.min("us"), F.max("us")).first()
-    hot = lo is not None and 2 * ((hi - lo + width) // step + 2) > hot_rows
+    if hot is None:
+        hot = many_slides(df, ts, size, slide, hot_rows)
     kw = {"hot": hot, "hot_rows": hot_rows}
     counts = running(steps, ["word"], ["idx"], {"count": F.col("d")}, **kw)
     spans = bounded_frame(counts, ["word"], ["idx"], {"until": lambda w: F.first("idx").over(

@@ -35,7 +35,8 @@ def trending_topics(posts: DataFrame, ts: str, text: str, *, size: int = 300, sl
                     n: int = 10, shards: int = 8) -> DataFrame:
     """Top topics of every window: ``(window_end, rank, word, count)``."""
     words = trending.extract_topics(posts.select(ts, text), text)
-    counts = trending.rolling_counts(words, ts, "word", size, slide)
+    hot = trending.many_slides(posts, ts, size, slide)
+    counts = trending.rolling_counts(words, ts, "word", size, slide, hot=hot)
     top = trending.total_topn(trending.partial_topn(counts, n, shards), n)
     return top.select("window_end", "rank", "word", "count")
 

@@ -231,7 +231,8 @@ def _topics(spark, d):
 
 
 def _counts(spark, d, zeros=False):
-    return tt.rolling_counts(_topics(spark, d), "ts", "word", WINDOW, SLIDE, zeros=zeros)
+    hot = tt.many_slides(inputs.table(spark, d, "events"), "ts", WINDOW, SLIDE)
+    return tt.rolling_counts(_topics(spark, d), "ts", "word", WINDOW, SLIDE, zeros=zeros, hot=hot)
 
 
 @query
