@@ -201,9 +201,10 @@ def test_carry_forward(spark):
 def test_topk_breaks_ties_by_key(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 5.0), ("c", 1, 9.0), ("d", 2, 0.0)],
                                "m string, tick long, s double")
-    got = mo.flag_topk(df, ["m"], "tick", "s", 2)
-    assert rows(got.filter("is_abnormal"), "m") == [("a",), ("c",), ("d",)]
-    assert got.count() == 4
+    for hot_rows in (100, 1):      # one window, or the group limit and a join
+        got = mo.flag_topk(df, ["m"], "tick", "s", 2, hot_rows=hot_rows)
+        assert rows(got.filter("is_abnormal"), "m") == [("a",), ("c",), ("d",)]
+        assert got.count() == 4
 
 
 def test_threshold_alerts(spark):

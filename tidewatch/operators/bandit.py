@@ -219,7 +219,7 @@ def sampler(inputs: DataFrame, actions: list[str], *, min_samples: int = SAMPLER
     ``optimistic`` lifts a drawn reward to the action's truncated mean. The draw
     names a past reward by its number, which an equality join looks up.
     """
-    past = _history(inputs, actions, hot_rows, earlier, hot)
+    past = cut(_history(inputs, actions, hot_rows, earlier, hot))
     ordinals = _ordinals(past, actions)
     if earlier is not None:
         ordinals = ordinals.unionByName(earlier.rewards)

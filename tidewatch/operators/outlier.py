@@ -315,17 +315,24 @@ def _reset_ticks(earliest: DataFrame, hot_rows: int, hot: bool,
             .select("scope", F.col("hit").alias("tick_no")).distinct())
 
 
-def flag_topk(df: DataFrame, row_key: list[str], tick: str, score: str,
-              k: int = 3) -> DataFrame:
+def flag_topk(df: DataFrame, row_key: list[str], tick: str, score: str, k: int = 3, *,
+              hot: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``is_abnormal`` to the ``k`` highest scores of each tick, equal scores by
     ``row_key``, which names a row within its tick.
 
-    Only the top rows are ranked (a group limit before the shuffle); the flag is
-    joined back.
+    Ticks that fit a task are ranked in one shuffle. Of crowded ones only the top
+    rows are ranked, with a group limit before the shuffle, and the flag is joined
+    back.
     """
+    order = [F.col(score).desc(), *[F.col(c).asc() for c in row_key]]
+    if hot is None:
+        hot = has_hot_key(df, [tick], hot_rows)
+    if not hot:
+        rank = F.row_number().over(Window.partitionBy(tick).orderBy(*order))
+        return df.withColumn("is_abnormal", rank <= k)
+    df = cut(df)
     keys = [tick, *row_key]
-    top = (top_per_group(df.select(*keys, score), [tick],
-                         [F.col(score).desc(), *[F.col(c).asc() for c in row_key]], k)
+    top = (top_per_group(df.select(*keys, score), [tick], order, k)
            .select(*keys).withColumn("_top", F.lit(True)))
     return (df.join(top, keys, "left")
             .withColumn("is_abnormal", F.coalesce("_top", F.lit(False))).drop("_top"))

@@ -71,7 +71,8 @@ def outlier_alerts(usage: DataFrame, machine: str, tick: str, seq: str, *,
         # A tick emits each machine at most once.
         crowded = usage.select(machine).distinct().count() > hot_rows
     if alert == "top-k":
-        return close(outlier.flag_topk(profiles, row_key, tick, "anomaly_score", k))
+        return close(outlier.flag_topk(profiles, row_key, tick, "anomaly_score", k,
+                                       hot=crowded, hot_rows=hot_rows))
     return close(outlier.threshold_alerts(profiles, row_key, tick, hot=crowded,
                                           hot_rows=hot_rows))
 

@@ -207,7 +207,9 @@ def mo_carry_forward(spark, d):
 
 @query
 def mo_alert_topk(spark, d):
-    return mo.flag_topk(_sliding(spark, d), ["event_id"], "tick", "anomaly_score", 3)
+    crowded = has_hot_key(inputs.machine_usage(spark, d), ["tick"])
+    return mo.flag_topk(_sliding(spark, d), ["event_id"], "tick", "anomaly_score", 3,
+                        hot=crowded)
 
 
 @query
