@@ -1,9 +1,11 @@
-"""Session helpers: lineage cuts and size checks."""
+"""Session helpers: lineage cuts with a lifetime, and size checks."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,24 +16,62 @@ HOT_ROWS = 4_000_000
 #: Rows a lookup table may hold to be broadcast (about 100 MB of short rows).
 BROADCAST_ROWS = 1_000_000
 
+#: Folders of the tables written by ``cut`` and not yet removed.
+_written: list[str] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session.
+    """Shared folder for lineage cuts.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary one.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, the
+    session gets a folder in its warehouse, which all executors can reach too.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in _written:
+            _written.remove(p)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables written by ``cut``, or those after the first ``since``."""
+    _remove(spark, _written[since:])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Lineage cuts made inside are removed on leaving.
+
+    For jobs that write their result inside the block, such as a micro-batch.
+    A frame that is still to be read must not be made in such a block.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        sweep(spark, before)
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    """Frames are lazy, so tables outside of ``scratch`` live as long as the session."""
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        try:
+            sweep(spark)
+        except Exception:  # the session may have ended already
+            _written.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,10 +79,11 @@ def cut(df: DataFrame) -> DataFrame:
 
     The rows survive executors and are never recomputed, so values that depend
     on how rows were partitioned stay fixed; readers fetch only the columns they
-    use.
+    use. ``scratch`` and ``sweep`` remove the tables.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
