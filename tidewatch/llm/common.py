@@ -22,23 +22,23 @@ def uniform(*parts: Column | int | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def numbered(df: DataFrame, group: list[str], key: str, name: str, n_rows: int,
-             chunk_rows: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], keys: list[str], name: str, n_rows: int,
+             chunk_rows: int = 50_000, least: int = 256) -> DataFrame:
     """Add a gapless number from 0 within each group, whatever the groups' sizes.
 
-    Rows are numbered inside chunks that a hash of ``key`` deals out, and shifted
+    Rows are numbered inside chunks that a hash of ``keys`` deals out, and shifted
     by the sizes of the chunks before; so a group with all rows is spread as well.
-    Groups must not be null. Rows with one key come in any order.
+    Groups must not be null. Rows with equal keys come in any order.
     """
-    chunks = max(256, n_rows // chunk_rows + 1)
+    chunks = max(least, n_rows // chunk_rows + 1)
     chunk = f"_{name}_chunk"
-    dealt = df.withColumn(chunk, F.pmod(F.xxhash64(F.lit("chunk"), key), F.lit(chunks)))
+    dealt = df.withColumn(chunk, F.pmod(F.xxhash64(F.lit("chunk"), *keys), F.lit(chunks)))
     sizes = dealt.groupBy(*group, chunk).agg(F.count(F.lit(1)).alias("_size"))
     before = (Window.partitionBy(*group).orderBy(chunk)
               .rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*group, chunk,
                           F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, chunk).orderBy(key)
+    inside = Window.partitionBy(*group, chunk).orderBy(*keys)
     return (dealt.withColumn(name, F.row_number().over(inside).cast("long") - 1)
             .join(starts, [*group, chunk])
             .withColumn(name, F.col(name) + F.col("_start"))

@@ -44,4 +44,4 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id",
                        F.crc32(text_col.cast("binary")).alias("text_crc32"),
                        rendezvous(F.col(key), weights).alias("shard"),
                        grown.alias("grown_shard"))
-    return numbered(rows, ["shard"], key, "slot", docs.count())
+    return numbered(rows, ["shard"], [key], "slot", docs.count())
