@@ -5,19 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import license_scan, mixing, quality_rules, sharding
+from tidewatch.llm import (html_text, license_scan, mixing, packing, quality_model, quality_rules,
+                           sharding)
 from tidewatch.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"), license_scan.known(spark))
 
 
+def op4_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(table(spark, folder, "documents"),
+                                  table(spark, folder, "labels"))
+
+
+def op5_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return (mixing.copies(table(spark, folder, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken", "source", "copies"))
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op8_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return (sharding.shard(docs, [1.0] * 8, grow_by=1.0)
@@ -37,7 +58,10 @@ def op9_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
+    "op4_quality_model": op4_quality_model,
+    "op5_page_text": op5_page_text,
     "op6_source_mix": op6_source_mix,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_rule_ledger": op9_rule_ledger,
 }
