@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import (html_text, license_scan, mixing, packing, quality_model, quality_rules,
+from tidewatch.llm import (html_text, license_scan, mixing, neighbours, packing, quality_model, quality_rules,
                            sharding)
 from tidewatch.llm.common import table
 
@@ -21,6 +21,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"), license_scan.known(spark))
 
 
+def op2_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.classify(table(spark, folder, "documents"),
                                   table(spark, folder, "labels"))
@@ -58,6 +62,7 @@ def op9_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
+    "op2_projected_neighbours": op2_projected_neighbours,
     "op4_quality_model": op4_quality_model,
     "op5_page_text": op5_page_text,
     "op6_source_mix": op6_source_mix,
