@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import (html_text, license_scan, mixing, neighbours, packing, quality_model, quality_rules,
+from tidewatch.llm import (html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
                            sharding)
 from tidewatch.llm.common import table
 
@@ -60,6 +60,10 @@ def op9_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
                       "n_exclamations", "failed_rules")
 
 
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.link(table(spark, folder, "documents"))
+
+
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -69,6 +73,7 @@ REGISTRY = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_rule_ledger": op9_rule_ledger,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}
