@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
-                           sharding)
+                           sharding, suffix_dedup)
 from tidewatch.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op4_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.classify(table(spark, folder, "documents"),
                                   table(spark, folder, "labels"))
@@ -67,6 +71,7 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
     "op2_projected_neighbours": op2_projected_neighbours,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_model": op4_quality_model,
     "op5_page_text": op5_page_text,
     "op6_source_mix": op6_source_mix,
