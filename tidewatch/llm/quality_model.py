@@ -207,3 +207,19 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     """Score every row: learn from the labelled ones, read every text once."""
     described = cut(describe(docs, doc_id, text))
     return score(described, fit(described, labels, **kw))
+
+
+def good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
+         least: float = 0.5, **kw) -> DataFrame:
+    """The rows that score at least ``least``, all columns.
+
+    Statistics are taken a second time for the filter, as texts cost more to shuffle
+    than to read again.
+    """
+    model = fit(cut(describe(docs, doc_id, text)), labels, **kw)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(texts.map(statistics))))
+
+    return docs.filter(scored(F.coalesce(F.col(text), F.lit(""))) >= least)

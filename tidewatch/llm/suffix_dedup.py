@@ -292,10 +292,10 @@ def _sort_groups(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, doc_id: str, text: str, carry: dict[str, str]) -> DataFrame:
     """Rows are known by id and a hash of the text, so repeated ids do not mix."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"),
-                       F.col(text).alias("text"))
+                       F.col(text).alias("text"), *[F.col(c).alias(n) for n, c in carry.items()])
 
 
 def _same(a: str, b: str) -> Column:
@@ -311,7 +311,8 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
     second: ``doc_id, t, ranges`` (start and stop of further repeated runs).
     """
     kind = dict(docs.dtypes)["doc_id"]
-    grams = _anchors(docs, length, gram)
+    rest = [c for c in docs.columns if c not in ("doc_id", "t", "text")]
+    grams = _anchors(docs.select("doc_id", "t", "text"), length, gram)
     twice = (grams.groupBy("h").agg(F.count("h").alias("n"), F.min("c").alias("lo"),
                                     F.max("c").alias("hi"))
              .filter("n > 1").select(F.col("h").alias("_h"), (F.col("lo") == F.col("hi"))
@@ -338,7 +339,7 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
     per_text = (whole.unionByName(judged).groupBy("doc_id", "t")
                 .agg(F.collect_list(entry).alias("entries")))
     held = (docs.alias("d").join(per_text.alias("p"), _same("d", "p"))
-            .select("d.doc_id", "d.t", "d.text", "p.entries"))
+            .select("d.doc_id", "d.t", "d.text", *[f"d.{c}" for c in rest], "p.entries"))
     held = cut(held)
 
     group = "h long, salt int, salts int, at long, full boolean, bytes binary"
@@ -395,34 +396,40 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
               .groupBy("doc_id", "t")
               .agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
     full = F.transform(F.filter("entries", lambda e: e["full"]), lambda e: e["at"])
-    return held.select("doc_id", "t", "text", full.alias("full")), ranges
+    return held.select("doc_id", "t", "text", *rest, full.alias("full")), ranges
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                    length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS,
                    with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]`` for every row.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row, and with
+    ``with_text`` the text that is left and all other columns of the rows.
 
     Texts are judged as UTF-8 bytes and as they come in; a null text is empty. Matches
     stay within a text and may overlap; repeated rows repeat each other. ``text`` is what
     is left; a character that is cut in two goes as a whole there, while the digest is
-    that of the bytes. Texts without a candidate are measured where they are read.
+    that of the bytes. Texts without a candidate do not pass through Python.
     """
     if not 8 <= gram <= length:
         raise ValueError("a gram needs 8 bytes at least and must fit into the string")
-    rows = _keyed(docs, doc_id, text)
-    kind = dict(rows.dtypes)["doc_id"]
+    carry = ({f"_{i}": c for i, c in enumerate(docs.columns) if c not in (doc_id, text)}
+             if with_text else {})
+    rows = _keyed(docs, doc_id, text, carry)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     held, ranges = _ranges(rows, length, gram, group_rows)
     both = (held.alias("a").join(ranges.alias("b"), _same("a", "b"), "left")
-            .select("a.doc_id", "a.t", "a.text", "a.full", "b.ranges"))
-    schema = (f"doc_id {kind}, t long, n_bytes long, n_removed long, n_spans long, "
-              "kept_sha256 string" + (", text string" if with_text else ""))
-    names = [f.split()[0] for f in schema.split(", ")]
+            .select("a.doc_id", "a.t", "a.text", "a.full", "b.ranges",
+                    *[f"a.{c}" for c in carry]))
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", "t long", "n_bytes long", "n_removed long",
+                        "n_spans long", "kept_sha256 string",
+                        *(["text string"] if with_text else []),
+                        *[f"{c} {kinds[c]}" for c in carry]])
+    names = ["doc_id", "t", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t, text, full, ranges in batch.itertuples(index=False):
+            for key, t, text, full, ranges in batch.iloc[:, :5].itertuples(index=False):
                 raw = np.frombuffer(_raw(text), dtype=np.uint8)
                 first, last = _unpack(np.asarray(full, dtype=np.int64))
                 step = np.zeros(len(raw) + 1, dtype=np.int32)
@@ -436,7 +443,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 row = (key, t, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
-            yield pd.DataFrame(out, columns=names)
+            done = pd.DataFrame(out, columns=names + ["text"] * with_text)
+            yield pd.concat([done, batch.iloc[:, 5:].reset_index(drop=True)], axis=1)
 
     touched = both.mapInPandas(run, schema)
     t = F.coalesce("text", F.lit(""))
@@ -444,7 +452,12 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                        F.lit(0).cast("long").alias("n_removed"),
                        F.lit(0).cast("long").alias("n_spans"),
                        F.sha2(t, 256).alias("kept_sha256"),
-                       *([F.col("text")] if with_text else []))
+                       *([F.col("text"), *carry] if with_text else []))
     known = held.select("doc_id", "t").distinct()
     free = free.alias("f").join(known.alias("k"), _same("f", "k"), "left_anti")
-    return touched.unionByName(free).drop("t")
+    out = touched.unionByName(free).drop("t")
+    if not with_text:
+        return out
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    back = [F.col(n).alias(c) for n, c in carry.items() if c not in own]
+    return out.select(F.col("doc_id").alias(doc_id), F.col("text").alias(text), *back, *own)
