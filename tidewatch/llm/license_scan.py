@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut
+
 #: Spellings with one meaning: every left form is written as the right one. Applied to
 #: lower-case text in this order. Fixed values, from the public matching guidelines
 #: for licence texts.
@@ -27,7 +29,7 @@ SPELLINGS = (
 )
 
 #: A line that only states a copyright.
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:\(c\)|©|copyright (?:\(c\)|©|[0-9]))[^\n]*$"
+_COPYRIGHT = r"(?md)^[^a-z0-9\n]*(?:\(c\)|©|copyright (?:\(c\)|©|[0-9]))[^\n]*$"
 
 _PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,10 +122,11 @@ def scan(docs: DataFrame, licences: DataFrame, *, doc_id: str = "doc_id",
         "doc_id", one_line(F.col("_form")).alias("_whole"),
         F.filter(F.transform(F.split("_form", "\n"), lambda s: F.trim(s)),
                  lambda s: s.rlike("licen|releas|copy|permi|spdx")).alias("_lines"))
-    rows = rows.select("doc_id", digest(F.col("_whole")).alias("digest"),
-                       F.length("_whole").cast("long").alias("n_chars"),
-                       F.array_sort(F.array_distinct(F.transform(
-                           "_lines", lambda s: F.sha2(s, 256)))).alias("_digests"))
+    # Kept, as both joins need it: a few digests for each text.
+    rows = cut(rows.select("doc_id", digest(F.col("_whole")).alias("digest"),
+                           F.length("_whole").cast("long").alias("n_chars"),
+                           F.array_sort(F.array_distinct(F.transform(
+                               "_lines", lambda s: F.sha2(s, 256)))).alias("_digests")))
     # Rows with lines to look up are few; equal rows get equal answers.
     hits = (rows.filter(F.size("_digests") > 0)
             .select("doc_id", "digest", F.explode("_digests").alias("_line"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import (html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
                            sharding, suffix_dedup)
 from tidewatch.llm.common import table
+from tidewatch.llm.oracle import ORACLE  # noqa: F401  the queries' SQL, by name
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -80,5 +81,3 @@ REGISTRY = {
     "op9_rule_ledger": op9_rule_ledger,
     "op10_near_duplicates": op10_near_duplicates,
 }
-
-ORACLE: dict[str, str] = {}
