@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -203,22 +202,17 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
 
 
 def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
-    """Add ``text`` and ``n_chars`` in place of the page source.
+    """``text`` and ``n_chars`` in place of the page source, all other columns as they are.
 
     A null or empty page, and one without main text, gives ''. Pages are read one at
     a time inside the tasks, so a long page costs its own length in memory. Markup that
-    is not closed ends with the page.
+    is not closed ends with the page. Columns named like the new ones are replaced.
     """
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text string", "n_chars long"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[rest].copy()
-            texts = [main_text(h) for h in batch["_html"]]
-            out["text"] = texts
-            out["n_chars"] = [len(t) for t in texts]
-            yield out
-
-    return pages.select(*rest, F.col(html).alias("_html")).mapInPandas(run, schema)
+
+    @F.pandas_udf("string")
+    def text(column: pd.Series) -> pd.Series:
+        return column.map(main_text)
+
+    return (pages.select(*rest, text(F.coalesce(F.col(html), F.lit(""))).alias("text"))
+            .withColumn("n_chars", F.length("text").cast("long")))

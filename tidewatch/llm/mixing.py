@@ -172,13 +172,13 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Rows that repeat a document's id are matched to its copy numbers one by one.
     """
     plan = copies(docs, doc_id=doc_id, text=text, source=source, **kw)
-    nth = Window.partitionBy("_id").orderBy(F.desc("copies"))
-    plan = (plan.select(F.col("doc_id").alias("_id"), "copies")
-            .withColumn("_nth", F.row_number().over(nth)))
+    nth = Window.partitionBy("doc_id").orderBy(F.desc("copies"))
+    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"),
+                       F.row_number().over(nth).alias("_mix_nth"))
     own = Window.partitionBy(doc_id).orderBy(F.octet_length(text), F.xxhash64(text))
-    rows = docs.withColumn("_nth_row", F.row_number().over(own))
-    joined = rows.join(plan, F.col(doc_id).eqNullSafe(F.col("_id"))
-                       & (F.col("_nth_row") == F.col("_nth")))
-    return (joined.filter("copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = docs.withColumn("_mix_row", F.row_number().over(own))
+    joined = rows.join(plan, F.col(doc_id).eqNullSafe(F.col("_mix_id"))
+                       & (F.col("_mix_row") == F.col("_mix_nth")))
+    times = F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))
+    return (joined.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(times))
             .select(*[F.col(c) for c in docs.columns]))

@@ -318,5 +318,6 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
     """The documents that are kept: the smallest id of each group, all columns."""
-    gone = link(docs, doc_id=doc_id, **kw).filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone.distinct(), F.col(doc_id) == F.col("_id"), "left_anti")
+    gone = link(docs, doc_id=doc_id, **kw).filter("NOT kept").select(
+        F.col("doc_id").alias("_near_id"))
+    return docs.join(gone.distinct(), F.col(doc_id) == F.col("_near_id"), "left_anti")

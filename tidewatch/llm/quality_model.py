@@ -58,15 +58,13 @@ def statistics(text: str | None) -> list[float]:
 
 def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, f``: the statistics of every whole text. A null text is empty."""
-    kind = dict(docs.dtypes)[doc_id]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "f": [statistics(t) for t in batch["text"]]})
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(statistics)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) \
-        .mapInPandas(run, f"doc_id {kind}, f array<double>")
+    return docs.select(F.col(doc_id).alias("doc_id"),
+                       of(F.coalesce(F.col(text), F.lit(""))).alias("f"))
 
 
 @dataclass(frozen=True)
