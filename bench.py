@@ -17,14 +17,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from tidewatch.plans.registered import REGISTRY  # noqa: E402
+from tidewatch.session import sweep  # noqa: E402
 
 HEADLINE = [
     "sa_score", "sa_classify",
     "lp_parse_log", "lp_geo_lookup", "lp_volume_running", "lp_status_running",
     "lp_geo_running", "lp_all_branches",
     "mo_observation_score", "mo_anomaly_sliding", "mo_anomaly_decayed", "mo_alert_topk",
-    "mo_alert_threshold",
-    "tt_topics", "tt_rolling_counts", "tt_total_topn",
+    "mo_alert_threshold", "mo_stream_topk", "mo_carry_forward",
+    "tt_topics", "tt_rolling_counts", "tt_total_topn", "tt_window_length",
     "rl_random_greedy", "rl_sampler", "rl_interval_estimator",
     "metric_distribution", "latency_sampled",
 ]
@@ -55,6 +56,7 @@ def main() -> None:
             start = time.perf_counter()
             REGISTRY[n](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
+            sweep(spark)
         seconds[n] = round(min(times), 3)
         if os.environ.get("BENCH_VERBOSE"):
             print(f"{n:34s} {seconds[n]:8.3f}", file=sys.stderr, flush=True)

@@ -1,5 +1,7 @@
 """Local session for tests."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -9,6 +11,7 @@ def make_session(cores: int = 8) -> SparkSession:
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidewatch-tests-"))
              .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,6 +1,7 @@
 """The paths for large keys give the same rows as the plain ones: the limits are
 set so low that small tables take them."""
 
+import math
 import random
 
 import pytest
@@ -67,18 +68,52 @@ def test_follow_chain(spark, longest):
         assert set(rows(follow_chain(nodes, block_rows=size), "shard", "pos")) == want
 
 
-def test_decayed_without_fold(spark, folder):
+def fold(observations, scope_of):
+    """The profile rule observation by observation; ``(tick, seq, machine, score)``."""
+    factor = math.exp(-0.017)
+    limit = 0.5 / (1 - factor)
+    out = set()
+    scopes = {}
+    for o in sorted(observations, key=lambda o: (o[0], o[1])):
+        scopes.setdefault(scope_of(o), []).append(o)
+    for scope, seen in scopes.items():
+        value, last = {}, {}
+        for tick in sorted({o[0] for o in seen}):
+            over = False
+            for _, _, machine, score in [o for o in seen if o[0] == tick]:
+                if machine in value:
+                    value[machine] = value[machine] * factor + score
+                    over = over or value[machine] > limit
+                else:
+                    value[machine] = score
+                last[machine] = score
+            if over:
+                value = dict.fromkeys(value, 0.0)
+            out |= {(scope, tick, m, round(v, 6), round(last[m], 6)) for m, v in value.items()}
+    return out
+
+
+def test_decayed_profiles_against_a_fold(spark, folder):
     usage = inputs.machine_usage(spark, folder).withColumn("tick", F.date_trunc("day", "tick"))
-    scored = mo.observation_score(usage, "tick").withColumn("group", F.col("machine_id") % 2)
-    cols = ["scope", "tick", "machine_id", "anomaly_score", "score"]
-    for scope in ("global", "shard"):
-        args = (scored, "machine_id", "tick", ["event_id"])
-        folded = rows(mo.decayed_score(*args, scope=scope, shard="group"), *cols)
-        assert any(r[3] == 0.0 for r in folded) and any(r[3] > 20 for r in folded)
-        split = mo.decayed_score(*args, scope=scope, shard="group", fold_rows=0)
-        assert rows(split, *cols) == folded
-    tiny = mo.decayed_score(*args, scope="global", fold_rows=0, hot_rows=60, block_rows=8)
-    assert rows(tiny, *cols) == rows(mo.decayed_score(*args), *cols)
+    scored = (mo.observation_score(usage, "tick").withColumn("group", F.col("machine_id") % 2)
+              .withColumn("machine_id", F.when(F.col("machine_id") % 5 > 0, F.col("machine_id"))))
+    data = [tuple(r) for r in scored.select("tick", "event_id", "machine_id", "score",
+                                            "group").collect()]
+    group = {r[1]: r[4] for r in data}
+    data = [r[:4] for r in data]
+    args = (scored, "machine_id", "tick", ["event_id"])
+
+    def got(**kw):
+        return {(r["scope"], r["tick"], r["machine_id"], round(r["anomaly_score"], 6),
+                 round(r["score"], 6)) for r in mo.decayed_score(*args, **kw).collect()}
+
+    want = fold(data, lambda o: 0)
+    assert any(r[3] == 0 for r in want) and any(r[3] > 20 for r in want)
+    assert any(r[2] is None for r in want)
+    assert got() == want
+    assert got(hot_rows=60, block_rows=8) == want
+    assert got(scope="shard", shard="group") == fold(data, lambda o: group[o[1]])
+    assert got(scope="key") == fold(data, lambda o: o[2])
 
 
 def test_sampling(spark, folder):

@@ -156,19 +156,18 @@ def test_sliding_score(spark):
     assert same.filter("anomaly_score <> score").count() == 0
 
 
-@pytest.mark.parametrize("fold_rows", [10 ** 6, 0])
-def test_decayed_score(spark, fold_rows):
+def test_decayed_score(spark):
     f = math.exp(-0.017)
     df = _stream(spark, [("a", 0, 40), ("b", 0, 2), ("a", 1, 2), ("b", 2, 3), ("b", 4, 20),
                          ("b", 4, 20)])
     got = {(r["tick"], r["machine"]): r["anomaly_score"]
-           for r in mo.decayed_score(df, "machine", "tick", ["seq"], fold_rows=fold_rows).collect()}
+           for r in mo.decayed_score(df, "machine", "tick", ["seq"]).collect()}
     # The first observation of a machine is not tested; the second one resets all.
     assert got == pytest.approx({
         (0, "a"): 40.0, (0, "b"): 2.0, (1, "a"): 0.0, (1, "b"): 0.0, (2, "a"): 0.0,
         (2, "b"): 3.0, (4, "a"): 0.0, (4, "b"): 0.0})
     plain = _stream(spark, [("a", 0, 2), ("a", 3, 5)])
-    last = mo.decayed_score(plain, "machine", "tick", ["seq"], fold_rows=fold_rows)
+    last = mo.decayed_score(plain, "machine", "tick", ["seq"])
     assert last.filter("tick = 3").first()["anomaly_score"] == pytest.approx(2 * f + 5)
 
 
@@ -185,10 +184,9 @@ def test_decayed_score_goes_on_from_carried_rows(spark):
     cols = ["tick", "machine", "anomaly_score", "score"]
     whole = mo.decayed_score(df, "machine", "tick", ["seq"])
     first = mo.decayed_score(df.filter("tick < 20"), "machine", "tick", ["seq"])
-    for fold_rows in (10 ** 6, 0):
-        rest = mo.decayed_score(df.filter("tick >= 20"), "machine", "tick", ["seq"],
-                                carry=first.filter("tick = 19"), fold_rows=fold_rows)
-        assert rows(first.unionByName(rest), *cols) == rows(whole, *cols)
+    rest = mo.decayed_score(df.filter("tick >= 20"), "machine", "tick", ["seq"],
+                            carry=first.filter("tick = 19"))
+    assert rows(first.unionByName(rest), *cols) == rows(whole, *cols)
 
 
 def test_carry_forward(spark):

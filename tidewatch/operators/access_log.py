@@ -54,7 +54,9 @@ def geo_lookup(df: DataFrame, geo: DataFrame, ip: str = "ip", *,
     # At most 33 values.
     lengths = sorted((r[0] for r in geo.select("prefix_len").distinct().collect()),
                      reverse=True)
-    if is_small(geo, limit):
+    if not lengths:
+        found = rows.withColumn("_net", F.lit(None).cast("struct<country:string,city:string>"))
+    elif is_small(geo, limit):
         found = _geo_broadcast(rows, geo, lengths)
     else:
         found = _geo_shuffled(rows, geo, lengths)

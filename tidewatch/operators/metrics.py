@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tidewatch.functions import (
 )
 from tidewatch.operators.chain import BLOCK_ROWS, follow_chain
 from tidewatch.operators.ordered import has_hot_key, row_index, running
-from tidewatch.session import HOT_ROWS
+from tidewatch.session import HOT_ROWS, join_safe
 
 # Reported percentiles.
 PERCENTILES = (0, 5, 25, 50, 75, 95, 100)
@@ -38,17 +40,19 @@ def distribution(df: DataFrame, value: str, by: list[str] | None = None, *,
     """Count, mean and percentiles ``p0 .. p100`` by lower nearest rank (the value
     at index ``floor((n - 1) * p)`` of the sorted samples), per ``by``.
 
-    Equal values are counted first; the ranks are running sums of these counts.
+    Null values are no samples; a group with nothing else has 0 samples and null
+    statistics. Equal values are counted first; the ranks are running sums of these counts.
     """
     by = by or []
     if hot is None:
         hot = has_hot_key(df, by, hot_rows)
-    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = (df.filter(F.col(value).isNotNull())
+              .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running(counts, by, ["_v"], {"_cum": F.col("_c")}, hot=hot, hot_rows=hot_rows)
     totals = (df.groupBy(*by).agg(F.count(value).alias("samples"),
                                   F.avg(value).alias("mean")))
     if by:
-        ranked = ranked.join(totals, by)
+        ranked = join_safe(ranked, totals, by)
         n = F.col("samples")
     else:
         n = totals.select("samples").scalar()
@@ -57,8 +61,7 @@ def distribution(df: DataFrame, value: str, by: list[str] | None = None, *,
     indexed = ranked.withColumns(
         {f"_i{p}": F.floor((n - 1) * F.lit(p / 100.0)) for p in PERCENTILES})
     if by:
-        return indexed.groupBy(*by).agg(F.first("samples").alias("samples"),
-                                        F.first("mean").alias("mean"), *picks)
+        return join_safe(totals, indexed.groupBy(*by).agg(*picks), by, "left")
     out = indexed.agg(*picks)
     zero = F.lit(0)
     return out.select(n.alias("samples"),
@@ -101,7 +104,7 @@ def rate_sample(df: DataFrame, ts: str, seq: str, rate: float, shard: str, *,
     """
     if rate == 0:
         return df
-    gap = int(1_000_000 / rate)
+    gap = math.ceil(1_000_000 / rate)
     largest = df.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
     rows = row_index(df, [shard], [ts, seq], "_pos", hot=largest > hot_rows,
                      hot_rows=hot_rows)

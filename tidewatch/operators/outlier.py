@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from tidewatch.operators.ordered import (
     running,
     top_per_group,
 )
-from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, cut, lookup_side
+from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, cut, join_safe, lookup_side
 
 # Decay per observation, and the share of the largest possible
 # profile that raises a reset.
@@ -28,9 +26,6 @@ RESET_SHARE = 0.5
 ALERT_MARGIN = 0.1
 ALERT_UPPER = math.sqrt(2.0)
 
-#: Observations of one scope that a single task may fold.
-FOLD_ROWS = 1_000_000
-
 
 def observation_score(df: DataFrame, tick: str, cpu: str = "cpu", memory: str = "memory",
                       cpu_range=(0.0, 1.0), mem_range=(0.0, 100.0)) -> DataFrame:
@@ -99,8 +94,7 @@ def _reach(lam: float, min_score: float) -> int:
 def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
                   lam: float = DECAY, min_score: float = 1.0, scope: str = "global",
                   shard: str | None = None, carry: DataFrame | None = None,
-                  fold_rows: int = FOLD_ROWS, hot_rows: int = HOT_ROWS,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Decayed anomaly profile of every known machine at every tick.
 
     Per observation the machine's profile becomes ``profile * exp(-lam) +
@@ -113,9 +107,9 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     ``carry`` may hold these rows for the last tick of earlier input, to go on
     from there.
 
-    Scopes of at most ``fold_rows`` observations are folded in order. Larger ones
-    need no pass over all rows in time order: scores are at least
-    ``min_score``, so a profile that starts from zero passes the limit within a
+    Machines and scopes may be null and then form one of their own; observations
+    without score or tick are left out. No pass over all rows in time order is
+    needed: scores are at least ``min_score``, so a profile that starts from zero passes the limit within a
     fixed number of observations. That gives, for each observation, the tick at
     which a profile starting there would reset; the smallest such tick per tick
     points from one reset to the next, and following these pointers yields all
@@ -128,6 +122,7 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
                  "shard": F.col(shard) if shard else F.lit(None)}[scope]
     checked = (F.when(F.col("score") >= min_score, F.col("score").cast("double"))
                .otherwise(F.raise_error(F.lit("score below min_score"))))
+    df = df.filter(F.col("score").isNotNull() & F.col(tick).isNotNull())
     obs = df.select(scope_col.alias("scope"), F.col(machine), F.col(tick).alias("_tick"), *order,
                     checked.alias("score"), checked.alias("_add"))
     if carry is not None:
@@ -139,88 +134,34 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
             *[F.lit(None).cast(kinds[c]).alias(c) for c in order],
             "score", F.col("anomaly_score").alias("_add")))
     obs = cut(obs)
-    sizes = obs.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"),
-                                     F.count_distinct("_tick").alias("ticks"))
-    rows, tick_count = [x or 0 for x in sizes.agg(F.max("rows"), F.max("ticks")).first()]
+    sizes = obs.groupBy("scope").agg(F.count_distinct("_tick").alias("ticks"))
+    tick_count = sizes.agg(F.max("ticks")).first()[0] or 0
     many_ticks = tick_count > hot_rows
     # Tick numbers per scope are the positions of the pointer chain.
     ticks = tick_numbers(obs, "_tick", "scope", hot=many_ticks, hot_rows=hot_rows)
-    if rows <= fold_rows:
-        spans = _fold_spans(obs, machine, order, factor, limit)
-        numbered = ticks
-    else:
-        numbered = cut(ticks)
-        spans = _distributed_spans(obs, machine, order, factor, limit, reach, numbered,
-                                   tick_count, scope == "global", hot_rows, block_rows)
+    numbered = cut(ticks)
+    spans = _spans(obs, machine, order, factor, limit, reach, numbered, tick_count,
+                   scope == "global", hot_rows, block_rows)
     if scope == "global" and tick_count <= BROADCAST_ROWS:
         numbered = F.broadcast(numbered)
     every = spans.select("scope", machine, "anomaly_score", "score",
                          F.explode(F.sequence("lo", "hi")).alias("tick_no"))
-    out = (every.join(numbered, ["scope", "tick_no"])
+    out = (join_safe(every, numbered, ["scope", "tick_no"])
            .select("scope", F.col("_tick").alias(tick), machine, "anomaly_score", "score"))
     if carry is None:
         return out
-    return out.join(carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
-
-
-def _fold_spans(obs: DataFrame, machine: str, order: list[str], factor: float,
-                limit: float) -> DataFrame:
-    """The rule as a fold, for scopes that fit one task: ``(scope, machine, lo, hi,
-    anomaly_score, score)``, a value standing from tick ``lo`` to ``hi``."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_tick", *order])
-        tick_of = np.unique(pdf["_tick"].to_numpy(), return_inverse=True)[1]
-        machine_of, names = pd.factorize(pdf[machine])
-        values, epochs, latest = {}, {}, {}
-        resets, over, epoch = [], False, 0
-        rows = zip(tick_of.tolist(), machine_of.tolist(), pdf["_add"].tolist(),
-                   pdf["score"].tolist())
-        now = 0
-        for t, m, add, score in rows:
-            if t != now:
-                if over:
-                    resets.append(now)
-                    over, epoch = False, epoch + 1
-                now = t
-            if m not in values:
-                values[m] = add
-            else:
-                p = values[m] if epochs[m] == epoch else 0.0
-                values[m] = p * factor + add
-                over = over or values[m] > limit
-            epochs[m] = epoch
-            latest[(m, t)] = (values[m], score)
-        if over:
-            resets.append(now)
-        at = pd.DataFrame([(m, t, *v) for (m, t), v in latest.items()],
-                          columns=["m", "lo", "anomaly_score", "score"]).sort_values(["m", "lo"])
-        end = int(tick_of.max()) + 1
-        until = at.groupby("m")["lo"].shift(-1).fillna(end).astype("int64")
-        marks = np.append(np.asarray(resets, dtype="int64"), end)
-        zero_from = np.minimum(marks[np.searchsorted(marks, at["lo"])], until)
-        kept = at.assign(hi=zero_from - 1)
-        zeroed = at.assign(lo=zero_from, hi=until - 1, anomaly_score=0.0)
-        out = pd.concat([kept, zeroed])
-        out = out[out["lo"] <= out["hi"]]
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0], machine: names[out["m"].to_numpy()],
-                             "lo": out["lo"].to_numpy(), "hi": out["hi"].to_numpy(),
-                             "anomaly_score": out["anomaly_score"].to_numpy(),
-                             "score": out["score"].to_numpy()})
-
-    kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
-    return obs.groupBy("scope").applyInPandas(
-        fold, f"scope {kinds['scope']}, `{machine}` {kinds[machine]}, lo long, hi long, "
-              "anomaly_score double, score double")
-
-
-def _distributed_spans(obs: DataFrame, machine: str, order: list[str], factor: float,
-                       limit: float, reach: int, ticks: DataFrame, tick_count: int,
-                       one_scope: bool, hot_rows: int, block_rows: int) -> DataFrame:
-    """The rule without a fold, for scopes of any size; same result."""
+    return join_safe(out, carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
+
+
+def _spans(obs: DataFrame, machine: str, order: list[str], factor: float, limit: float,
+           reach: int, ticks: DataFrame, tick_count: int, one_scope: bool, hot_rows: int,
+           block_rows: int) -> DataFrame:
+    """``(scope, machine, lo, hi, anomaly_score, score)``: a value that stands from
+    tick ``lo`` to ``hi``."""
     keys = ["scope", machine]
     hot_machine = has_hot_key(obs, keys, hot_rows)
     many_ticks = tick_count > hot_rows
-    obs = obs.join(ticks, ["scope", "_tick"]).drop("_tick")
+    obs = join_safe(obs, ticks, ["scope", "_tick"]).drop("_tick")
     in_order = ["tick_no", *order]
 
     ahead = bounded_frame(obs, keys, in_order, {
@@ -243,8 +184,8 @@ def _distributed_spans(obs: DataFrame, machine: str, order: list[str], factor: f
     resets = _reset_ticks(earliest, hot_rows, tick_count > block_rows, block_rows)
 
     # Epoch = number of resets before the tick.
-    marked = (ticks.join(resets.withColumn("_reset", F.lit(1).cast("long")),
-                         ["scope", "tick_no"], "left")
+    marked = (join_safe(ticks, resets.withColumn("_reset", F.lit(1).cast("long")),
+                        ["scope", "tick_no"], "left")
               .withColumn("_reset", F.coalesce("_reset", F.lit(0).cast("long"))))
     epochs = cut(running(marked, ["scope"], ["tick_no"], {"_upto": F.col("_reset")},
                          hot=many_ticks, hot_rows=hot_rows)
@@ -258,15 +199,16 @@ def _distributed_spans(obs: DataFrame, machine: str, order: list[str], factor: f
          .rowsBetween(Window.unboundedPreceding, 0))
     profile = F.aggregate(F.collect_list("_add").over(w), F.lit(0.0),
                           lambda acc, s: acc * factor + s)
-    calm = (obs.join(epochs.drop("_tick"), ["scope", "tick_no"]).filter(~F.col("_is_reset"))
+    calm = (join_safe(obs, epochs.drop("_tick"), ["scope", "tick_no"])
+            .filter(~F.col("_is_reset"))
             .withColumn("_profile", profile)
             .groupBy(*keys, "tick_no")
             .agg(F.max_by("_profile", F.struct(*order)).alias("_profile")))
     latest = obs.groupBy(*keys, "tick_no").agg(
         F.max_by("score", F.struct(*order)).alias("score"))
-    known = (latest.join(calm, [*keys, "tick_no"], "left")
-             .join(epochs.select("scope", "tick_no", F.col("_epoch").alias("_from")),
-                   ["scope", "tick_no"]))
+    known = join_safe(
+        join_safe(latest, calm, [*keys, "tick_no"], "left"),
+        epochs.select("scope", "tick_no", F.col("_epoch").alias("_from")), ["scope", "tick_no"])
 
     spans = bounded_frame(known, keys, ["tick_no"], {
         "_next": lambda w: F.first("tick_no").over(w.rowsBetween(1, 1))},
@@ -274,10 +216,10 @@ def _distributed_spans(obs: DataFrame, machine: str, order: list[str], factor: f
     # Each value stands until the machine's next one, and is zero from the first
     # reset on.
     ends = ticks.groupBy("scope").agg(F.max("tick_no").alias("_end"))
-    spans = spans.join(F.broadcast(ends) if one_scope else ends, "scope")
+    spans = join_safe(spans, F.broadcast(ends) if one_scope else ends, ["scope"])
     resets_of = epochs.filter("_is_reset").select(
         "scope", F.col("_epoch").alias("_from"), F.col("tick_no").alias("_reset_at"))
-    spans = spans.join(resets_of, ["scope", "_from"], "left")
+    spans = join_safe(spans, resets_of, ["scope", "_from"], "left")
     until = F.coalesce(F.col("_next") - 1, F.col("_end"))
     zero_from = F.least(F.col("_reset_at"), until + 1)
     both = F.array(
@@ -302,16 +244,17 @@ def _reset_ticks(earliest: DataFrame, hot_rows: int, hot: bool,
     inside = (Window.partitionBy("scope", "_chunk").orderBy(F.col("tick_no").desc())
               .rowsBetween(Window.unboundedPreceding, 0))
     soonest = (earliest.withColumn("hit", F.min("hit").over(inside))
-               .join(later, ["scope", "_chunk"])
+               .select("scope", "_chunk", "tick_no", "hit"))
+    soonest = (join_safe(soonest, later, ["scope", "_chunk"])
                .select("scope", "tick_no", F.least("hit", "_later").alias("hit")))
     # Node t stands for "profiles start in tick t": they reset at hit(t) and the
     # next start is the tick after.
     nodes = soonest.select(F.col("scope").alias("shard"), F.col("tick_no").alias("pos"),
                            F.coalesce(F.col("hit") + 1, F.lit(1 << 60)).alias("nxt"))
     chain = follow_chain(nodes, hot=hot, block_rows=block_rows)
-    return (soonest.filter(F.col("hit").isNotNull())
-            .join(chain.select(F.col("shard").alias("scope"), F.col("pos").alias("tick_no")),
-                  ["scope", "tick_no"], "left_semi")
+    starts = chain.select(F.col("shard").alias("scope"), F.col("pos").alias("tick_no"))
+    return (join_safe(soonest.filter(F.col("hit").isNotNull()), starts, ["scope", "tick_no"],
+                      "left_semi")
             .select("scope", F.col("hit").alias("tick_no")).distinct())
 
 

@@ -36,15 +36,30 @@ def word_scores(tokens: DataFrame, lexicon: DataFrame, *,
     return scored.withColumn("score", F.coalesce("score", F.lit(0)))
 
 
-def document_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
-                   limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``(key, score)`` for every row of ``df`` whose text has a lexicon word.
+def _scored(df: DataFrame, text: str, lexicon: DataFrame, limit: int, in_row: int) -> DataFrame:
+    """Add ``score`` to every row.
 
-    Words outside the lexicon add nothing, so an inner join drops them right
-    after the scan and one row per document enters the shuffle.
+    A lexicon of at most ``in_row`` words is a constant of the plan. A larger one is
+    joined word by word; a score depends on the text alone, so scores are summed and
+    joined back by the text's digest, and rows need no key. Both give the same.
     """
-    hits = tokens(df, key, text).join(lookup_side(lexicon, limit), "word")
-    return hits.groupBy(key).agg(F.sum("score").alias("score"))
+    zero = F.lit(0).cast("long")
+    if is_small(lexicon, in_row):
+        return df.withColumn("score", F.coalesce(score_in_row(text, lexicon), zero))
+    told = df.withColumn("_tw_text", F.md5(F.col(text)))
+    hits = tokens(told, "_tw_text", text).join(lookup_side(lexicon, limit), "word")
+    sums = hits.groupBy("_tw_text").agg(F.sum("score").cast("long").alias("score"))
+    copies = told.groupBy("_tw_text").agg(F.count(F.lit(1)).alias("_tw_n"))
+    each = sums.join(copies, "_tw_text").select(
+        "_tw_text", F.expr("score div _tw_n").alias("score"))
+    return (told.join(each, "_tw_text", "left")
+            .select(*df.columns, F.coalesce("score", zero).alias("score")))
+
+
+def document_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
+                   limit: int = BROADCAST_ROWS, in_row: int = IN_ROW_WORDS) -> DataFrame:
+    """``(key, score)`` for every row of ``df``, 0 for a text without lexicon words."""
+    return _scored(df.select(key, text), text, lexicon, limit, in_row).select(key, "score")
 
 
 def score_in_row(text: str, lexicon: DataFrame) -> Column:
@@ -74,15 +89,8 @@ def classify(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
              limit: int = BROADCAST_ROWS, in_row: int = IN_ROW_WORDS) -> DataFrame:
     """Replace the text by its cleaned form and add ``score`` and ``sentiment``.
 
-    With a lexicon of at most ``in_row`` words no row leaves its task. A larger one
-    is joined word by word, and the scores are joined back by ``key``.
+    Rows are scored one by one; ``key`` may be null or repeated.
     """
-    if is_small(lexicon, in_row):
-        scored = df.withColumn("score", F.coalesce(score_in_row(text, lexicon),
-                                                   F.lit(0).cast("long")))
-    else:
-        scores = document_score(df, key, text, lexicon, limit=limit)
-        scored = (df.join(scores, key, "left")
-                  .withColumn("score", F.coalesce("score", F.lit(0).cast("long"))))
+    scored = _scored(df, text, lexicon, limit, in_row)
     return (scored.withColumn(text, clean_text(F.col(text)))
             .withColumn("sentiment", sentiment_label(F.col("score"))))

@@ -32,8 +32,8 @@ def many_slides(df: DataFrame, ts: str, size: int, slide: int,
 def rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: int = 2,
                    *, zeros: bool = False, hot: bool | None = None,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Occurrences of each word in every window of ``size`` seconds, one window
-    per ``slide`` seconds: ``(window_start, window_end, word, count)``.
+    """Occurrences of each word in every window of ``size`` seconds (of whole
+    slides: ``size // slide`` of them), one window per ``slide`` seconds: ``(window_start, window_end, word, count)``.
 
     A row adds one where its first window starts and takes one away after its
     last, so the count of a word is a running sum over these steps and each row
@@ -42,7 +42,8 @@ def rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: in
     """
     if size // slide < 2:
         raise ValueError("the window must span at least two slides")
-    us, width, step = to_micros(F.col(ts)), size * MICROS, slide * MICROS
+    us, step = to_micros(F.col(ts)), slide * MICROS
+    width = size // slide * step
     first = floor_div(us - width, step) + 1
     past = floor_div(us, step) + 1
     steps = (df.select(F.col(word).alias("word"), F.inline(F.array(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import access_log as lp
 from tidewatch.operators import bandit, outlier, sentiment, trending
 from tidewatch.operators.ordered import has_hot_key
-from tidewatch.session import HOT_ROWS
+from tidewatch.session import HOT_ROWS, cut
 
 
 def sentiment_of(posts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -19,7 +19,9 @@ def sentiment_of(posts: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
 def log_branches(log: DataFrame, geo: DataFrame, order: list[str], *,
                  hot: bool | None = None) -> DataFrame:
     """Running volume, status and geography counts of one parsed log as one table:
-    a row per log row and branch, of located rows only for the geography."""
+    a row per log row and branch, of located rows only for the geography. The parsed
+    columns are kept, so that the three branches parse no line again."""
+    log = cut(log.select("minute", "response", "ip", *order))
     volume = lp.running_volume(log.select("minute", *order), order, hot=hot).withColumn(
         "tag", F.lit("Volume"))
     status = (lp.running_status(log.select("response", *order), order, hot=hot)
@@ -41,6 +43,7 @@ def trending_topics(posts: DataFrame, ts: str, text: str, *, size: int = 300, sl
     return top.select("window_end", "rank", "word", "count")
 
 
+# Names of the scorers and alert rules.
 SCORERS = ("data-stream", "sliding-window")
 ALERTS = ("top-k", "default")
 

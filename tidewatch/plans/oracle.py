@@ -240,7 +240,8 @@ ORACLE: dict[str, str] = {
   FROM documents""",
     "sa_word_hits": f"""WITH {_TOKENS} SELECT doc_id, word, coalesce(score, 0) AS score,
   count(*) AS n FROM tok LEFT JOIN lexicon USING (word) GROUP BY ALL""",
-    "sa_score": f"WITH {_TOKENS} SELECT doc_id, score FROM scores",
+    "sa_score": f"""WITH {_TOKENS} SELECT doc_id, coalesce(score, 0) AS score
+  FROM documents LEFT JOIN scores USING (doc_id)""",
     "sa_classify": f"""WITH {_TOKENS} SELECT doc_id,
   lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')) AS text, coalesce(score, 0) AS score,
   CASE WHEN score > 0 THEN 'Positive' WHEN score < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment
@@ -290,6 +291,12 @@ SELECT tick, machine_id, round(cpu, 6) AS cpu, memory FROM (SELECT s.tick, s.mac
   round(score, 6) AS score, round(anomaly_score, 6) AS anomaly_score,
   row_number() OVER (PARTITION BY tick ORDER BY anomaly_score DESC, event_id) <= 3 AS is_abnormal
   FROM sliding""",
+    "mo_stream_topk": f"""{_DECAYED} SELECT tick, machine_id, round(anomaly_score, 6)
+  AS anomaly_score, round(score, 6) AS score, row_number() OVER (PARTITION BY tick
+  ORDER BY anomaly_score DESC, machine_id) <= 3 AS is_abnormal FROM profiles""",
+    "mo_anomaly_decayed_by_shard": f"""WITH RECURSIVE {_decayed('machine_id % 4')}
+SELECT tick, machine_id, round(anomaly_score, 6) AS anomaly_score, round(score, 6) AS score
+FROM profiles""",
     "mo_alert_threshold": f"""{_DECAYED},
 placed AS (SELECT *, row_number() OVER w - 1 AS pos, first_value(anomaly_score) OVER w AS low,
     first_value(score) OVER w AS ind, count(*) OVER (PARTITION BY tick) AS n FROM profiles
@@ -309,6 +316,13 @@ FROM zeros""",
     "tt_window_length": f"""WITH {_COUNTS} SELECT emit_ts, (epoch_us(emit_ts) - epoch_us(coalesce(
   lag(emit_ts, {TRACKED}) OVER (ORDER BY emit_ts), min(emit_ts) OVER ()))) // 1000000
   AS window_seconds FROM (SELECT DISTINCT window_end AS emit_ts FROM counts)""",
+    "tt_trending": f"""WITH {_TOPICS},
+hits AS (SELECT word, unnest(range((epoch_us(ts) - 300000000) // 2000000 + 1,
+  epoch_us(ts) // 2000000 + 1)) AS idx FROM topics),
+counts AS (SELECT idx, word, count(*) AS count FROM hits GROUP BY ALL)
+SELECT make_timestamp(idx * 2000000 + 300000000) AS window_end, rank, word, count
+FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY count DESC, word) AS rank
+  FROM counts) WHERE rank <= 10""",
     "tt_partial_topn": f"WITH {_PARTIAL} SELECT * FROM partials",
     "tt_total_topn": f"WITH {_PARTIAL} SELECT * FROM total",
     "tt_rankings": f"""WITH {_PARTIAL} SELECT window_end,
@@ -353,8 +367,45 @@ SELECT event_id, shard, latency_us FROM kept""",
   round(mean, 6) AS mean FROM runs WHERE list_contains(sizes, 16) AND day % 4 <> 0
   AND day % 5 < 3 AND day % 7 <> 0 AND day % 6 <> 0""",
     "metric_series": f"""WITH {_RUNS} SELECT 'b = ' || b AS label, CAST(day AS INTEGER) AS x,
-  round(mean, 6) AS y FROM runs, (VALUES (0), (16), (64), (99)) t(b) WHERE event_type = 'view'
-  AND CASE WHEN b = 0 THEN sizes = [0, 0] ELSE list_contains(sizes, b) END""",
+  round(mean, 6) AS y FROM runs, (VALUES (0), (16), (64), (99)) t(b) 
+  WHERE CASE WHEN b = 0 THEN sizes = [0, 0] ELSE list_contains(sizes, b) END""",
+    "metric_series_parallelism": f"""WITH {_RUNS} SELECT 'p = ' || p AS label,
+  CASE day % 3 WHEN 0 THEN 0 WHEN 1 THEN 16 ELSE 64 END AS x, round(mean, 6) AS y
+  FROM runs, (VALUES (1), (2), (3), (40)) t(p) WHERE day = p""",
+    "metric_series_chaining": f"""WITH {_RUNS} SELECT 'Chaining: ' || CASE WHEN day % 4 <> 0
+  THEN 'enabled' ELSE 'disabled' END AS label, CAST(day AS INTEGER) AS x, round(mean, 6) AS y
+  FROM runs""",
+    "metric_series_execution_mode": f"""WITH {_RUNS} SELECT CASE WHEN day % 7 = 0
+  THEN 'DETERMINISTIC' ELSE 'DEFAULT' END AS label, CAST(day AS INTEGER) AS x,
+  round(mean, 6) AS y FROM runs""",
+    "metric_series_frequency": f"""WITH {_RUNS} SELECT 'Output frequency for all operators: ' ||
+  CASE WHEN day % 5 < 3 THEN 2 ELSE 4 END AS label, CAST(day AS INTEGER) AS x,
+  round(mean, 6) AS y FROM runs""",
+    "metric_series_timer_nodes": f"""WITH {_RUNS} SELECT 'Timer nodes used: ' ||
+  CASE WHEN day % 6 = 0 THEN 'T' ELSE 'NIL' END AS label, CAST(day AS INTEGER) AS x,
+  round(mean, 6) AS y FROM runs""",
+    "metric_scalability_latency": f"""WITH {_RUNS} SELECT event_type AS series,
+  CAST(day AS INTEGER) AS x, round(mean, 6) AS y,
+  round(first_value(mean) OVER (PARTITION BY event_type ORDER BY day) / mean, 6) AS scalability
+  FROM runs""",
+    "metric_efficiency_throughput": f"""WITH {_RUNS} SELECT event_type AS series,
+  CAST(day AS INTEGER) AS x, round(mean, 6) AS y,
+  round(mean / first_value(mean) OVER w / row_number() OVER w, 6) AS efficiency
+  FROM runs WINDOW w AS (PARTITION BY event_type ORDER BY day)""",
+    "metric_distribution_with_nulls": f"""WITH e AS (
+  SELECT CASE WHEN event_type <> 'signup' THEN event_type END AS kind,
+    CASE WHEN event_id % 7 > 0 AND event_type <> 'click' THEN value END AS value FROM events),
+known AS (SELECT * FROM e WHERE value IS NOT NULL),
+d AS ({_dist('kind', 'known')})
+SELECT k.kind, coalesce(d.samples, 0) AS samples, d.mean, {', '.join(f'd.p{p}' for p in _P)}
+FROM (SELECT DISTINCT kind FROM e) k LEFT JOIN d ON k.kind IS NOT DISTINCT FROM d.kind""",
+    "latency_by_branch": f"""WITH {_LOG},
+v AS ({_VOLUME}), s AS ({_STATUS}), g AS ({_GEO}),
+b AS (SELECT 'Volume' AS tag, event_id FROM v UNION ALL SELECT 'Status', event_id FROM s
+  UNION ALL SELECT 'Geo', event_id FROM g),
+t AS (SELECT tag, event_id % 997 AS value FROM b
+  UNION ALL SELECT 'overall', event_id % 997 FROM b)
+{_dist('tag', 't')}""",
     "metric_axis": f"""WITH {_RUNS} SELECT name, CAST(day AS INTEGER) AS day,
   round(mean * 1000000000, 6) AS per_second,
   CASE day % 3 WHEN 0 THEN 0 WHEN 1 THEN 16 ELSE 64 END AS x FROM runs""",
@@ -375,6 +426,7 @@ UNION ALL SELECT 'Ideal efficiency', x, 1 FROM (SELECT unnest(range(1, n + 1)) A
     "metric_pivot": f"""WITH {_RUNS} SELECT CAST(day AS INTEGER) AS x, """ + ", ".join(
         f"round(max(mean) FILTER (event_type = '{s}'), 6) AS {s}"
         for s in ("click", "error", "purchase", "signup", "view")) + " FROM runs GROUP BY day",
+    "fn_abs_diff": """SELECT event_id, round(abs(value - user_id), 6) AS diff FROM events""",
     "fn_split": """SELECT event_id, array_to_string(f, '|') AS parts, CAST(len(f) AS INTEGER) AS n
   FROM (SELECT event_id, list_filter(string_split(',' || event_type || ',,' ||
     CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END || ',' || props || ',',

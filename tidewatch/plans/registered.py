@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import int_list, parse_bool, split_nonempty
+from tidewatch.functions import abs_diff, int_list, parse_bool, split_nonempty
 from tidewatch.operators import access_log as lp
 from tidewatch.operators import bandit as rl
 from tidewatch.operators import metrics as mx
@@ -212,6 +212,19 @@ def mo_alert_topk(spark, d):
                         hot=crowded)
 
 
+@query
+def mo_stream_topk(spark, d):
+    return flows.outlier_alerts(inputs.machine_usage(spark, d), "machine_id", "tick",
+                                "event_id").drop("scope")
+
+
+@query
+def mo_anomaly_decayed_by_shard(spark, d):
+    rows = _scored(spark, d).withColumn("group", F.col("machine_id") % 4)
+    return mo.decayed_score(rows, "machine_id", "tick", ["event_id"], scope="shard",
+                            shard="group").drop("scope")
+
+
 @query
 def mo_alert_threshold(spark, d):
     usage = inputs.machine_usage(spark, d)
@@ -257,6 +270,12 @@ def tt_window_length(spark, d):
     return tt.window_length(_counts(spark, d), "window_end", TRACKED)
 
 
+@query
+def tt_trending(spark, d):
+    """The whole analysis, windows of 300 s every 2 s."""
+    return flows.trending_topics(inputs.posts(spark, d), "ts", "text")
+
+
 @query
 def tt_partial_topn(spark, d):
     return tt.partial_topn(_counts(spark, d), 10, 8)
@@ -400,12 +419,39 @@ def metric_select(spark, d):
     return runs.select("name", F.col("parallelism")[0].alias("parallelism"), "mean")
 
 
+def _series(spark, d, field, values, x="parallelism"):
+    y = mx.to_axis(F.col("mean"), "mean", F.col("time unit"))
+    return mx.series(inputs.runs(spark, d), field, values, mx.run_x(x), y * 1e6)
+
+
 @query
 def metric_series(spark, d):
-    y = mx.to_axis(F.col("mean"), "mean", F.col("time unit"))
-    s = mx.series(inputs.runs(spark, d).filter("event_type = 'view'"), "batch_size", [0, 16, 64, 99],
-                  mx.run_x("parallelism"), y * 1e6)
-    return s
+    return _series(spark, d, "batch_size", [0, 16, 64, 99])
+
+
+@query
+def metric_series_parallelism(spark, d):
+    return _series(spark, d, "parallelism", [1, 2, 3, 40], "batch_size")
+
+
+@query
+def metric_series_chaining(spark, d):
+    return _series(spark, d, "chaining", [True, False])
+
+
+@query
+def metric_series_execution_mode(spark, d):
+    return _series(spark, d, "execution_mode", ["default", "deterministic"])
+
+
+@query
+def metric_series_frequency(spark, d):
+    return _series(spark, d, "frequency", [2, 4])
+
+
+@query
+def metric_series_timer_nodes(spark, d):
+    return _series(spark, d, "timer_nodes", [True, False])
 
 
 @query
@@ -425,6 +471,34 @@ def metric_efficiency(spark, d):
     return mx.efficiency(_points(spark, d), "series", "x", "y", "latency")
 
 
+@query
+def metric_scalability_latency(spark, d):
+    return mx.scalability(_points(spark, d), "series", "x", "y", "latency")
+
+
+@query
+def metric_efficiency_throughput(spark, d):
+    return mx.efficiency(_points(spark, d), "series", "x", "y", "throughput")
+
+
+@query
+def metric_distribution_with_nulls(spark, d):
+    e = inputs.table(spark, d, "events").select(
+        F.when(F.col("event_type") != "signup", F.col("event_type")).alias("kind"),
+        F.when((F.col("event_id") % 7 > 0) & (F.col("event_type") != "click"),
+               F.col("value")).alias("value"))
+    return mx.distribution(e, "value", ["kind"])
+
+
+@query
+def latency_by_branch(spark, d):
+    """Statistics of a latency by branch of the log analysis, and over all branches."""
+    branches = flows.log_branches(_log(spark, d), inputs.geo(spark, d), ["event_id"],
+                                  hot=_hot(spark, d))
+    rows = branches.select("tag", (F.col("event_id") % 997).alias("latency"))
+    return mx.distribution_by_tag(rows, "latency", "tag")
+
+
 @query
 def metric_ideal(spark, d):
     p = _points(spark, d)
@@ -441,12 +515,17 @@ def metric_box(spark, d):
 
 @query
 def metric_pivot(spark, d):
-    return mx.pivot_table(_points(spark, d), "x", "series", "y",
-                          ["click", "error", "purchase", "signup", "view"])
+    return mx.pivot_table(_points(spark, d), "x", "series", "y")
 
 
 # ---- functions -----------------------------------------------------------------
 
+@query
+def fn_abs_diff(spark, d):
+    e = inputs.table(spark, d, "events")
+    return e.select("event_id", abs_diff(F.col("value"), F.col("user_id")).alias("diff"))
+
+
 @query
 def fn_split(spark, d):
     e = inputs.table(spark, d, "events")

@@ -88,6 +88,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null, null meeting null; the keys come once."""
+    a, b = left.alias("_tw_l"), right.alias("_tw_r")
+    cond = [F.col(f"_tw_l.{k}").eqNullSafe(F.col(f"_tw_r.{k}")) for k in keys]
+    joined = a.join(b, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select("_tw_l.*", *[F.col(f"_tw_r.{c}") for c in right.columns if c not in keys])
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``limit`` rows; the count reads no columns."""
     return df.count() <= limit

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import access_log as lp
 from tidewatch.operators import bandit, metrics, outlier, trending
 from tidewatch.operators.ordered import running, top_per_group
-from tidewatch.session import HOT_ROWS, lookup_side
+from tidewatch.session import HOT_ROWS, join_safe, lookup_side
 from tidewatch.streaming.carried import CarriedTable
 from tidewatch.streaming.run import append_batch, publish_decisions
 
@@ -24,7 +24,7 @@ def carry_running(batch: DataFrame, batch_id: int, table: CarriedTable, keys: li
     now = running(batch, keys, order, {name: one}, hot_rows=hot_rows)
     before = table.read(batch_id)
     offset = lookup_side(before.withColumnRenamed(name, "_before"))
-    out = now.join(offset, keys, "left").withColumn(
+    out = join_safe(now, offset, keys, "left").withColumn(
         name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
     totals = (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).unionByName(before)
               .groupBy(*keys).agg(F.sum(name).alias(name)))
@@ -227,7 +227,8 @@ class BanditJob:
         append_batch(out, self.path, batch_id)
         if self.feedback:
             publish_decisions(out, self.feedback, batch_id)
-        later = bandit.later_state(batch, self.actions, earlier, width=self.width)
+        state = {k: v for k, v in self.options.items() if k == "min_samples"}
+        later = bandit.later_state(batch, self.actions, earlier, width=self.width, **state)
         self.totals.write(later.totals, batch_id)
         self.hist.write(later.histogram, batch_id)
         if self._keeps_rewards():

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.session import scratch
+
 
 def with_event_time(df: DataFrame, ts: str, late: str = "0 seconds") -> DataFrame:
     """Watermark on ``ts``. Rows later than ``late`` are dropped by the stateful
@@ -38,8 +40,14 @@ def run_available_now(df: DataFrame, step: Callable[[DataFrame, int], None],
                       seconds: float | None = None) -> StreamingQuery:
     """Call ``step(batch, batch_id)`` per micro-batch until all input present is
     done, or for ever at the given interval. The last open tick or window stays
-    in the state and is not emitted."""
-    writer = (df.writeStream.foreachBatch(step).outputMode(mode)
+    in the state and is not emitted. Tables that a step keeps for itself are gone
+    when it ends."""
+
+    def in_scratch(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            step(batch, batch_id)
+
+    writer = (df.writeStream.foreachBatch(in_scratch).outputMode(mode)
               .option("checkpointLocation", checkpoint))
     return _start(writer, seconds)
 

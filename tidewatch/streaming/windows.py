@@ -18,13 +18,13 @@ def stream_rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, sl
     """Counts per word and sliding window, emitted when the window has closed.
 
     Rows are first counted per slide, so that each row meets the state once and
-    only these counts are spread over the windows.
+    only these counts are spread over the windows, which span whole slides.
     """
     slots = (with_event_time(df.select(F.col(ts).alias("ts"), F.col(word).alias("word")),
                              "ts", late)
              .groupBy(F.window("ts", f"{slide} seconds").alias("slot"), "word")
              .agg(F.count(F.lit(1)).alias("n")))
-    wide = F.window(F.window_time("slot"), f"{size} seconds", f"{slide} seconds")
+    wide = F.window(F.window_time("slot"), f"{size // slide * slide} seconds", f"{slide} seconds")
     return (slots.groupBy(wide.alias("w"), "word").agg(F.sum("n").alias("count"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "word", "count"))
