@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import floor_div, from_micros, hash_shard, split_nonempty, to_micros
 from tidewatch.operators.ordered import bounded_frame, running, top_per_group
-from tidewatch.session import HOT_ROWS
+from tidewatch.session import HOT_ROWS, cut
 
 MICROS = 1_000_000
 
@@ -73,7 +73,8 @@ def prune_zero(df: DataFrame, count: str = "count") -> DataFrame:
 def window_length(df: DataFrame, emit_ts: str, n: int, **kw) -> DataFrame:
     """Per emission time: whole seconds since the emission ``n`` before it; the
     first ``n`` use the first emission, when tracking began."""
-    emissions = df.select(F.col(emit_ts).alias("emit_ts")).distinct()
+    # Kept: the times are few next to the rows they are found in.
+    emissions = cut(df.select(F.col(emit_ts).alias("emit_ts")).distinct())
     start = emissions.agg(F.min("emit_ts")).scalar()
     out = bounded_frame(emissions, [], ["emit_ts"], {
         "_oldest": lambda w: F.when(

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import access_log as lp
 from tidewatch.operators import bandit, outlier, sentiment, trending
-from tidewatch.operators.ordered import has_hot_key
-from tidewatch.session import HOT_ROWS, cut
+from tidewatch.session import HOT_ROWS, cut, hot_or_unknown
 
 
 def sentiment_of(posts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -62,11 +61,11 @@ def outlier_alerts(usage: DataFrame, machine: str, tick: str, seq: str, *,
     close = (lambda df: df) if emit_last else (lambda df: outlier.drop_open_tick(df, tick))
     scored = close(outlier.observation_score(usage, tick, cpu, memory))
     if scorer == "sliding-window":
-        hot = has_hot_key(usage, [machine], hot_rows)
+        hot = hot_or_unknown(usage, hot_rows)
         profiles = outlier.sliding_score(scored, machine, [tick, seq], hot=hot,
                                          hot_rows=hot_rows)
         row_key = [machine, seq]
-        crowded = has_hot_key(usage, [tick], hot_rows)
+        crowded = hot
     else:
         profiles = close(outlier.decayed_score(scored, machine, tick, [seq],
                                                hot_rows=hot_rows))
