@@ -4,11 +4,13 @@ Each document of a source should be taken ``target / source size`` times. The wh
 part is taken for certain; the fractions are rounded in pairs. A pair exchanges mass,
 counted in words, in a random direction until one of the two is taken or not, so
 expectations hold for every document while the words of a pair stay what they were.
-The one that is still fractional goes on to the next pair.
 
 Pairs are formed in a reduction tree: blocks of a source are rounded each by itself,
 and leave at most one fractional document, which the next level rounds with those of
-other blocks. A source with a third of all rows has many blocks, so no task holds a
+other blocks. In a block of documents, all with one fraction, the longest document is
+paired with all the others as one, which can take up its words; then the next longest,
+so that a small document is left over. Residuals have fractions of their own and are
+rounded two by two. A source with a third of all rows has many blocks, so no task holds a
 source. Draws are hashes, so reruns agree.
 """
 
@@ -23,7 +25,7 @@ from tidewatch.llm.common import WORD, uniform
 from tidewatch.session import cut
 
 #: Documents that a block of the tree rounds one after the other.
-BLOCK = 64
+BLOCK = 512
 
 #: A source gives at most so many times its words.
 MOST = 3
@@ -97,7 +99,45 @@ def _step(seed: int):
     return step
 
 
-def _level(units: DataFrame, seed: int, kind: str) -> DataFrame:
+def _pool_step(seed: int):
+    """Round a document against all that follow it in its block, which share its
+    fraction: ``want`` of ``all`` words are to be taken.
+
+    The draw decides where the others can take up the words either way. Where they can
+    only one way (a document longer than all that is wanted, or left), that way is
+    taken, as a source is to come near its target; where neither, it is the residual.
+    """
+
+    def step(acc: Column, u: Column) -> Column:
+        s = u["size"].cast("double")
+        f, rest = acc["want"] / acc["all"], acc["all"] - s
+        near = 1e-9 * s
+        can_take, can_leave = acc["want"] >= s - near, acc["want"] <= rest + near
+        draw = uniform(seed, u["doc_id"], u["size"], u["source"])
+        taken = can_take & (~can_leave | (draw < f))
+        left = can_leave & ~taken
+
+        def state(done, carry, want, all_, bit):
+            return F.struct(done.alias("done"), carry.alias("carry"), want.alias("want"),
+                            all_.alias("all"), bit.alias("bit"))
+
+        def with_done(p: Column) -> Column:
+            return F.concat(acc["done"], F.array(_with(u, p)))
+
+        none = acc["carry"]
+        # What follows is taken as a whole, and u makes up for the rest.
+        over = (acc["want"] - rest) / s
+        return (F.when(acc["bit"].isNotNull(),
+                       state(with_done(acc["bit"]), none, acc["want"], acc["all"], acc["bit"]))
+                .when(taken | left,
+                      state(with_done(F.when(taken, 1.0).otherwise(0.0)), none,
+                            acc["want"] - F.when(taken, s).otherwise(0.0), rest, acc["bit"]))
+                .otherwise(state(acc["done"], _with(u, over), acc["want"], rest, F.lit(1.0))))
+
+    return step
+
+
+def _level(units: DataFrame, seed: int, kind: str, first: bool) -> DataFrame:
     """One level of the tree: a row per block with its rounded units and its residual."""
     counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     known = (units.alias("u").join(counts.alias("c"),
@@ -110,9 +150,21 @@ def _level(units: DataFrame, seed: int, kind: str) -> DataFrame:
                .agg(F.sort_array(F.collect_list(
                    F.struct((-F.col("size")).alias("o"), "doc_id", "source", "size", "base",
                             "p"))).alias("units")))
-    empty = F.struct(F.array().cast(f"array<{kind}>").alias("done"),
-                     F.lit(None).cast(kind).alias("carry"))
-    return grouped.select(F.aggregate("units", empty, _step(seed)).alias("r")).select("r.*")
+    done, none = F.array().cast(f"array<{kind}>"), F.lit(None).cast(kind)
+    if not first:
+        start = F.struct(done.alias("done"), none.alias("carry"))
+        return grouped.select(F.aggregate("units", start, _step(seed)).alias("r")).select("r.*")
+    words = F.aggregate("units", F.lit(0.0), lambda a, u: a + u["size"])
+    start = F.struct(done.alias("done"), none.alias("carry"),
+                     (words * F.get("units", F.lit(0))["p"]).alias("want"), words.alias("all"),
+                     F.lit(None).cast("double").alias("bit"))
+    rounded = grouped.select(F.aggregate("units", start, _pool_step(seed)).alias("r"))
+    # A residual that came out whole is settled as well.
+    whole = _whole(F.col("r.carry.p"))
+    return rounded.select(
+        F.when(F.coalesce(whole, F.lit(False)), F.concat("r.done", F.array("r.carry")))
+        .otherwise(F.col("r.done")).alias("done"),
+        F.when(~whole, F.col("r.carry")).alias("carry"))
 
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -148,7 +200,7 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     most = current.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     level = 0
     while most > 0:
-        blocks = cut(_level(current, seed + level, kind))
+        blocks = cut(_level(current, seed + level, kind, level == 0))
         done.append(blocks.select(F.explode("done").alias("u")).select("u.*"))
         current = blocks.filter(F.col("carry").isNotNull()).select("carry.*")
         # As many residuals as blocks: the levels end with one block for each source.
@@ -177,7 +229,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                        F.row_number().over(nth).alias("_mix_nth"))
     own = Window.partitionBy(doc_id).orderBy(F.octet_length(text), F.xxhash64(text))
     rows = docs.withColumn("_mix_row", F.row_number().over(own))
-    joined = rows.join(plan, F.col(doc_id).eqNullSafe(F.col("_mix_id"))
+    joined = rows.join(plan.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_mix_id"))
                        & (F.col("_mix_row") == F.col("_mix_nth")))
     times = F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))
     return (joined.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(times))
