@@ -34,7 +34,7 @@ GRAM = 32
 SHALLOW = 16
 
 #: Different surroundings of a gram that one task compares.
-GROUP_ROWS = 1024
+GROUP_ROWS = 16_384
 
 #: Windows that are sorted at a time.
 _AT_ONCE = 400_000
@@ -256,15 +256,16 @@ def _sort_groups(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     sizes = rows["bytes"].map(len).to_numpy()
     origin = np.cumsum(sizes) - sizes
     buf = np.frombuffer(b"".join(rows["bytes"]) + bytes(8), dtype=np.uint8)
-    row = np.repeat(np.arange(len(rows)), count)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), count)
     begins = np.cumsum(count) - count
-    offset = np.arange(len(row)) - np.repeat(begins, count)
+    offset = (np.arange(len(row)) - np.repeat(begins, count)).astype(np.int32)
     suffix = origin[row] + offset
     # Equal windows belong to equal grams at the same distance.
-    back = (rows["at"].to_numpy() >> 32)[row] - first[row] - offset
     block = np.cumsum((rows["h"].ne(rows["h"].shift()) | rows["salt"].ne(rows["salt"].shift()))
                       .to_numpy())
-    _, group = np.unique(block[row] * (length + 1) + back, return_inverse=True)
+    back = (rows["at"].to_numpy() >> 32) - first
+    group = (block * (length + 1) + back)[row] - offset
+    group -= group.min()
     classes = deep_shallow(buf, suffix, group, length)
     whole = rows["full"].to_numpy()[row]
     hit = (classes >= 0) & ~whole
@@ -313,16 +314,18 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
     kind = dict(docs.dtypes)["doc_id"]
     rest = [c for c in docs.columns if c not in ("doc_id", "t", "text")]
     grams = _anchors(docs.select("doc_id", "t", "text"), length, gram)
-    twice = (grams.groupBy("h").agg(F.count("h").alias("n"), F.min("c").alias("lo"),
+    # Written, so that the join has plain exchanges on both sides and can split a gram
+    # that is found everywhere.
+    twice = cut(grams.groupBy("h").agg(F.count("h").alias("n"), F.min("c").alias("lo"),
                                     F.max("c").alias("hi"))
              .filter("n > 1").select(F.col("h").alias("_h"), (F.col("lo") == F.col("hi"))
                                      .alias("alike")))
     found = cut(grams.join(twice, F.col("h") == F.col("_h")).drop("_h"))
     # Grams with several surroundings: one row for each, and how many there are.
     rid = F.xxhash64("doc_id", "t", "at")
-    around = (found.filter("NOT alike").groupBy("h", "c")
-              .agg(F.count("h").alias("n"), F.min(rid).alias("rid")))
-    kinds = around.groupBy("h").agg(F.count("c").alias("m")).select(F.col("h").alias("_h"), "m")
+    around = cut(found.filter("NOT alike").groupBy("h", "c")
+                 .agg(F.count("h").alias("n"), F.min(rid).alias("rid")))
+    kinds = cut(around.groupBy("h").agg(F.count("c").alias("m")).select(F.col("h").alias("_h"), "m"))
     around = (around.join(kinds, F.col("h") == F.col("_h"))
               .select(F.col("h").alias("_h"), F.col("c").alias("_c"), "n", "rid",
                       F.ceil(F.col("m") / F.lit(group_rows)).cast("int").alias("salts")))
@@ -338,7 +341,7 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
     entry = F.struct("at", "h", "full", "need", "salts", "salt")
     per_text = (whole.unionByName(judged).groupBy("doc_id", "t")
                 .agg(F.collect_list(entry).alias("entries")))
-    held = (docs.alias("d").join(per_text.alias("p"), _same("d", "p"))
+    held = (docs.alias("d").join(per_text.alias("p").hint("merge"), _same("d", "p"))
             .select("d.doc_id", "d.t", "d.text", *[f"d.{c}" for c in rest], "p.entries"))
     held = cut(held)
 
@@ -347,12 +350,11 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
     def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t, text, entries in batch.itertuples(index=False):
+            for key, t, text, *entry in batch.itertuples(index=False):
                 raw = _raw(text)
-                for e in entries:
-                    first, last = _unpack(e["at"])
-                    out.append((key, t, e["h"], e["salt"], e["salts"], e["at"], e["full"],
-                                raw[first:last + length]))
+                first, last = _unpack(entry[3])
+                for a, b, e in zip(first.tolist(), (last + length).tolist(), zip(*entry)):
+                    out.append((key, t, *e, raw[a:b]))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -360,9 +362,9 @@ def _ranges(docs: DataFrame, length: int, gram: int, group_rows: int
                 yield pd.DataFrame(out, columns=columns)
 
     columns = ["doc_id", "t", "h", "salt", "salts", "at", "full", "bytes"]
-    wanted = F.filter("entries", lambda e: e["need"])
-    parts = (held.select("doc_id", "t", "text", wanted.alias("entries"))
+    parts = (held.withColumn("entries", F.filter("entries", lambda e: e["need"]))
              .filter(F.size("entries") > 0)
+             .select("doc_id", "t", "text", *[F.col(f"entries.{c}") for c in columns[2:-1]])
              .mapInPandas(surroundings, f"doc_id {kind}, t long, {group}")
              .repartition("h", "salt").sortWithinPartitions("h", "salt"))
 
@@ -454,7 +456,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                        F.sha2(t, 256).alias("kept_sha256"),
                        *([F.col("text"), *carry] if with_text else []))
     known = held.select("doc_id", "t").distinct()
-    free = free.alias("f").join(known.alias("k"), _same("f", "k"), "left_anti")
+    free = free.alias("f").join(known.alias("k").hint("shuffle_hash"), _same("f", "k"),
+                                "left_anti")
     out = touched.unionByName(free).drop("t")
     if not with_text:
         return out
