@@ -199,8 +199,9 @@ def _sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
                                     "set": pd.Series([s.view(np.int64) for s in sets],
                                                      dtype=object)})
 
+    # One plan at every size: the ids of a large corpus are no broadcast.
     chosen = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-              .join(ids, "id", "left_semi"))
+              .join(ids.hint("shuffle_hash"), "id", "left_semi"))
     return chosen.mapInPandas(run, f"id {kind}, n long, set array<long>")
 
 
@@ -252,8 +253,10 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     members = cut(seen.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
                   .filter("n_shingles > 0")
                   .select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")))
-    buckets = (members.groupBy("key").agg(F.min("id").alias("leader"), F.count("id").alias("size"))
-               .filter("size > 1"))
+    # Written, so that the join has plain exchanges on both sides and splits a large bucket.
+    buckets = cut(members.groupBy("key")
+                  .agg(F.min("id").alias("leader"), F.count("id").alias("size"))
+                  .filter("size > 1"))
     crowd = cut(members.join(buckets, "key"))
     pairs = cut(crowd.filter("id <> leader").select("leader", "id").distinct())
     ids = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
@@ -273,18 +276,19 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     named = (crowd.filter("size > 2 AND id <> leader").alias("m")
              .join(found.alias("c"), F.col("m.id") == F.col("c.node"), "left")
              .select("m.key", "m.id", label.alias("component")).distinct())
-    open_ = (named.groupBy("key").agg(
+    named = cut(named)
+    open_ = cut(named.groupBy("key").agg(
         F.min("component").alias("_lo"), F.max("component").alias("_hi"),
         F.count("id").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
         F.sum(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 40))).alias("y"))
         .filter("_lo <> _hi")
         # Bands often give one group of members again and again; one of them is enough.
-        .groupBy("n", "x", "y").agg(F.min("key").alias("key")))
-    active = cut(named.join(open_.select("key", "n"), "key"))
+        .groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+    active = cut(named.join(open_, "key"))
     if active.limit(1).count():
         of = active.groupBy("key", "component").agg(F.count("id").alias("k"))
-        most = of.groupBy("key").agg(F.max_by("component", F.struct("k", "component"))
-                                     .alias("giant"), F.max("k").alias("k"))
+        most = cut(of.groupBy("key").agg(F.max_by("component", F.struct("k", "component"))
+                                         .alias("giant"), F.max("k").alias("k")))
         known = active.join(most, "key").withColumn("is_open", F.col("component") != F.col("giant"))
         # Every open member meets every block of members; small buckets are one block.
         blocks = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
@@ -320,4 +324,4 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
     """The documents that are kept: the smallest id of each group, all columns."""
     gone = link(docs, doc_id=doc_id, **kw).filter("NOT kept").select(
         F.col("doc_id").alias("_near_id"))
-    return docs.join(gone.distinct(), F.col(doc_id) == F.col("_near_id"), "left_anti")
+    return docs.join(gone.distinct().hint("shuffle_hash"), F.col(doc_id) == F.col("_near_id"), "left_anti")
