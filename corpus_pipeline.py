@@ -22,8 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_model.good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Similarity of word shingles, in hundredths, from which documents of a corpus are near
+#: duplicates. The operator's own default is that of the query ``op10``.
+NEAR = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.deduplicate(docs)
+    return near_dups.deduplicate(docs, limit=NEAR)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

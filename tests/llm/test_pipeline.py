@@ -58,3 +58,44 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_near_duplicates_from_80(spark, folder):
+    """Pairs on both sides of 0.80 and of 0.85, against every pair compared."""
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(204)]
+        # An edit changes five of 200 shingles: 0.86, 0.82, 0.80 (at the limit) or 0.78.
+        for edits, cut_ in ((3, 0), (4, 0), (4, 4), (4, 5)):
+            other = [f"{edits}-{cut_}-{w}" if i % 50 == 20 and i < 50 * edits else w
+                     for i, w in enumerate(base)][:len(base) - cut_]
+            name = f"v{g}e{edits}c{cut_}-"
+            texts += [" ".join(name + w for w in words) for words in (base, other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [test_near_dups.shingles(t) for t in texts]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert {round(s, 3) for s in similar} == {0.86, 0.818, 0.8, 0.795}
+    gone = {2 * i + 1 for i, s in enumerate(similar) if s >= 0.8}
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
+    assert got == set(range(len(texts))) - gone
+
+
+def test_near_duplicates_of_documents(spark, folder, docs):
+    """The given documents against every pair compared at 0.80."""
+    sets = sorted((r["doc_id"], test_near_dups.shingles(r["text"]))
+                  for r in docs.select("doc_id", "text").collect())
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            shared = len(a & b)
+            if a and b and 100 * shared >= 80 * (len(a) + len(b) - shared):
+                one, two = sorted((root(i), root(j)))
+                parent[two] = one
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
+    assert got == {i for i in parent if root(i) == i}
