@@ -61,3 +61,24 @@ def test_odd_rows(spark):
     assert rows_of(extract(df)) == sorted(
         [(1, None, "", 0), (None, "u", "", 0)] + [(1, "u", text, len(text))] * 2, key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+P = f"<p>{BODY}</p>"
+T = BODY.strip()
+
+
+@pytest.mark.parametrize("source,want", [
+    (f"<body><div class='layout has-sidebar'><article>{P}<p>Short.</p></article>"
+     "<div class=sidebar><p>Side</p></div></div></body>", f"{T}\nShort."),
+    (f"<body><div id='page-header-and-body'><div class=menu><a href=a>a</a></div>{P}{P}</div></body>",
+     f"{T}\n{T}"),
+    (f"<body><article class='post no-comments'><h1>Head</h1>{P}</article></body>", f"Head\n{T}"),
+    (f"<main><div class='layout has-sidebar'>{P}<p>Short.</p></div></main>", f"{T}\nShort."),
+    # What stands beside an article is still left out, also where it is longer or has articles.
+    (page(P, after=f"<section id=comments><article class=comment>{P[:60]}</article></section>"), T),
+    (page("<p>A short article, but an article.</p>", before=f"<div class=cookie-notice>{P}{P}</div>"),
+     "A short article, but an article."),
+    (f"<body>{P}<div hidden>{P * 5}</div></body>", T),
+])
+def test_marked_wrappers(source, want):
+    assert main_text(source) == want

@@ -4,7 +4,9 @@ The standard library's parser turns a page into events; block elements cut them
 lines. A line's ratio is its characters outside links per tag in it. Ratios are
 smoothed with a Gaussian, lines above a threshold form clusters, and the container
 that holds most of the clustered text is the content region. Lines in elements that are
-never content (menus, adverts, forms and the like) count as ratio 0 and are left out.
+never content (menus, forms and the like) count as ratio 0 and are left out. What class,
+id or role mark as such is judged when the clusters are known, since wrappers of the whole
+text have such names too.
 """
 
 from __future__ import annotations
@@ -54,23 +56,27 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Events(HTMLParser):
-    """Lines of a page: text, characters in links, tags, whether left out, region."""
+    """Lines of a page: text, characters in links, tags, whether left out, region, mark."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        #: Open elements: name, left out, number of the region, number of the article.
-        self._open: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
+        #: Open elements: name, left out, number of the region, number of the mark.
+        self._open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
         self.parents = {0: 0}
         self.content: set[int] = set()
+        #: Mark around each region, and marked elements: mark around them, whether they
+        #: are an article, whether they are inside an article or main.
+        self.region_marks = [0]
+        self.marks: list[tuple[int, bool, bool]] = [(0, False, False)]
         self._text: list[str] = []
         self._linked = self._tags = self._anchors = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
-        _, out, region = self._open[-1]
+        _, out, region, mark = self._open[-1]
         if text or self._tags:
-            self.lines.append((text, min(self._linked, len(text)), self._tags, out, region))
+            self.lines.append((text, min(self._linked, len(text)), self._tags, out, region, mark))
         self._text = []
         self._linked = self._tags = 0
 
@@ -90,19 +96,24 @@ class _Events(HTMLParser):
         self._tags += 1
         if tag in _VOID:
             return
-        _, out, region = self._open[-1]
+        _, out, region, mark = self._open[-1]
+        whole = tag in ("html", "body", "main")
         if not out:
             out = tag in _NEVER or (tag == "header" and not self._inside_content(region)) \
-                or (tag not in ("html", "body", "main") and self._marked(attrs))
+                or (not whole and self._hidden(attrs))
+        if not out and not whole and self._marked(attrs):
+            self.marks.append((mark, tag == "article", self._inside_content(region)))
+            mark = len(self.marks) - 1
         if tag in _REGIONS:
             new = len(self.parents)
             self.parents[new] = region
+            self.region_marks.append(mark)
             region = new
             if tag in _CONTENT and not out:
                 self.content.add(new)
         if tag == "a":
             self._anchors += 1
-        self._open.append((tag, out, region))
+        self._open.append((tag, out, region, mark))
 
     def _inside_content(self, region: int) -> bool:
         while region:
@@ -116,6 +127,11 @@ class _Events(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role") and value and _MARKS.search(value):
                 return True
+        return False
+
+    @staticmethod
+    def _hidden(attrs: list) -> bool:
+        for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name == "style" and value and _HIDDEN.search(value):
@@ -163,6 +179,57 @@ def _smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius), kernel / kernel.sum(), "valid")
 
 
+def _dense(lines: list, left_out: list[bool], sigma: float, strength: float) -> np.ndarray:
+    """Which lines are above the threshold of the smoothed ratios."""
+    ratios = np.array([0.0 if out else (len(line[0]) - line[1]) / max(1, line[2])
+                       for line, out in zip(lines, left_out)])
+    smooth = _smooth(ratios, sigma)
+    return (smooth >= strength * smooth.std()) & (ratios > 0)
+
+
+def _dropped(page: _Events, dense: np.ndarray) -> list[bool]:
+    """For each mark, whether what is inside it is left out.
+
+    An article is not left out for its own mark. A marked container stays if it holds an
+    article and no less clustered text than the articles outside marked containers, or if
+    it holds half of all clustered text and no article stands against it.
+    """
+    parents = [m[0] for m in page.marks]
+    chars, holds = [0] * len(parents), [False] * len(parents)
+    within = [False] * len(parents)
+    for m in range(1, len(parents)):
+        within[m] = within[parents[m]] or not page.marks[m][1]
+    for r in page.content:
+        holds[page.region_marks[r]] = True
+    total = articles = 0
+    top = _top_content(page, page.content)
+    for i in np.flatnonzero(dense):
+        text, linked, _, _, region, mark = page.lines[i]
+        chars[mark] += len(text) - linked
+        total += len(text) - linked
+        if top[region] and not within[mark]:
+            articles += len(text) - linked
+    for m in range(len(parents) - 1, 0, -1):
+        chars[parents[m]] += chars[m]
+        holds[parents[m]] |= holds[m]
+    dropped = [False] * len(parents)
+    for m in range(1, len(parents)):
+        around, article, inside = page.marks[m]
+        stays = article or chars[m] > 0 and (
+            holds[m] and chars[m] >= articles
+            or 2 * chars[m] >= total and (not articles or holds[m] or inside))
+        dropped[m] = dropped[around] or not stays
+    return dropped
+
+
+def _top_content(page: _Events, content: set[int]) -> list[int]:
+    """For each region the outermost article or main around it, else 0."""
+    top = [0] * len(page.parents)
+    for r in range(1, len(top)):
+        top[r] = top[page.parents[r]] or (r if r in content else 0)
+    return top
+
+
 def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> str:
     """Main text of one page: its blocks joined by line feeds, '' if there is none."""
     if not html:
@@ -171,34 +238,35 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
     page.feed(html)
     page.close()
     lines = page.lines
-    if not any(t and not out for t, _, _, out, _ in lines):
+    left_out = [line[3] for line in lines]
+    if not any(line[0] and not out for line, out in zip(lines, left_out)):
         return ""
-    ratios = np.array([0.0 if out else (len(t) - linked) / max(1, tags)
-                       for t, linked, tags, out, _ in lines])
-    smooth = _smooth(ratios, sigma)
-    threshold = strength * smooth.std()
-    dense = (smooth >= threshold) & (ratios > 0)
-
-    def content_root(region: int) -> int:
-        while region and region not in page.content:
-            region = page.parents[region]
-        return region
+    dense = _dense(lines, left_out, sigma, strength)
+    content = page.content
+    if len(page.marks) > 1:
+        dropped = _dropped(page, dense)
+        left_out = [line[3] or dropped[line[5]] for line in lines]
+        if not any(line[0] and not out for line, out in zip(lines, left_out)):
+            return ""
+        dense = _dense(lines, left_out, sigma, strength)
+        content = {r for r in content if not dropped[page.region_marks[r]]}
 
     # Text of clustered lines by the article around them, or else by their container.
-    inside, around = defaultdict(float), defaultdict(float)
-    for i, (t, linked, _, out, region) in enumerate(lines):
-        if dense[i] and not out:
-            root = content_root(region)
-            (inside if root else around)[root or region] += len(t) - linked
-    if inside:
-        best = max(inside, key=lambda r: (inside[r], -r))
-        take = [content_root(line[4]) == best for line in lines]
+    top = _top_content(page, content)
+    articles, around = defaultdict(float), defaultdict(float)
+    for i in np.flatnonzero(dense):
+        text, linked, _, _, region, _ = lines[i]
+        (articles if top[region] else around)[top[region] or region] += len(text) - linked
+    if articles:
+        best = max(articles, key=lambda r: (articles[r], -r))
+        take = [top[line[4]] == best for line in lines]
     elif around:
         best = max(around, key=lambda r: (around[r], -r))
         take = [dense[i] or line[4] == best for i, line in enumerate(lines)]
     else:
-        take = [bool(page.content) and content_root(line[4]) > 0 for line in lines]
-    return "\n".join(t for (t, _, _, out, _), yes in zip(lines, take) if yes and not out and t)
+        take = [top[line[4]] > 0 for line in lines]
+    return "\n".join(line[0] for line, out, yes in zip(lines, left_out, take)
+                     if line[0] and not out and yes)
 
 
 def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
