@@ -82,3 +82,16 @@ T = BODY.strip()
 ])
 def test_marked_wrappers(source, want):
     assert main_text(source) == want
+
+
+@pytest.mark.parametrize("source,want", [
+    (f"<div id=content><section>{P * 3}</section><section><h2>More</h2><ul><li>one<li>two</ul>"
+     "</section></div>", None),
+    (f"<div id=content><section>{P * 3}</section><section><h2>More</h2>{P}<ul><li>one<li>two</ul>"
+     "</section></div>", f"{T}\n{T}\n{T}\nMore\n{T}\none\ntwo"),
+    (f"<main><h1>Title</h1><article>{P}</article></main>", f"Title\n{T}"),
+    (f"<body><div><article>{P}</article><h2>Next</h2><article>{P}<p>End</p></article></div></body>",
+     f"{T}\nNext\n{T}\nEnd"),
+])
+def test_all_of_the_region(source, want):
+    assert main_text(source) == (want or f"{T}\n{T}\n{T}\nMore\none\ntwo")

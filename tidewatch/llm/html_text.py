@@ -2,17 +2,17 @@
 
 The standard library's parser turns a page into events; block elements cut them into
 lines. A line's ratio is its characters outside links per tag in it. Ratios are
-smoothed with a Gaussian, lines above a threshold form clusters, and the container
-that holds most of the clustered text is the content region. Lines in elements that are
-never content (menus, forms and the like) count as ratio 0 and are left out. What class,
-id or role mark as such is judged when the clusters are known, since wrappers of the whole
-text have such names too.
+smoothed with a Gaussian, lines above a threshold form clusters, and the lowest container
+of all clustered lines is the content region; if some are in an article or main, it is the
+lowest one of those. A section is a part of the container around it. Lines in elements
+that are never content (menus, forms and the like) count as ratio 0 and are left out. What
+class, id or role mark as such is judged when the clusters are known, since wrappers of
+the whole text have such names too.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -65,6 +65,7 @@ class _Events(HTMLParser):
         self._open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
         self.parents = {0: 0}
         self.content: set[int] = set()
+        self.sections: set[int] = set()
         #: Mark around each region, and marked elements: mark around them, whether they
         #: are an article, whether they are inside an article or main.
         self.region_marks = [0]
@@ -111,6 +112,8 @@ class _Events(HTMLParser):
             region = new
             if tag in _CONTENT and not out:
                 self.content.add(new)
+            elif tag == "section":
+                self.sections.add(new)
         if tag == "a":
             self._anchors += 1
         self._open.append((tag, out, region, mark))
@@ -251,22 +254,27 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
         dense = _dense(lines, left_out, sigma, strength)
         content = {r for r in content if not dropped[page.region_marks[r]]}
 
-    # Text of clustered lines by the article around them, or else by their container.
+    # Containers of clustered lines: the outermost articles around them, if there are any.
     top = _top_content(page, content)
-    articles, around = defaultdict(float), defaultdict(float)
-    for i in np.flatnonzero(dense):
-        text, linked, _, _, region, _ = lines[i]
-        (articles if top[region] else around)[top[region] or region] += len(text) - linked
-    if articles:
-        best = max(articles, key=lambda r: (articles[r], -r))
-        take = [top[line[4]] == best for line in lines]
-    elif around:
-        best = max(around, key=lambda r: (around[r], -r))
-        take = [dense[i] or line[4] == best for i, line in enumerate(lines)]
+    around = {lines[i][4] for i in np.flatnonzero(dense)}
+    around = {top[r] for r in around if top[r]} or around
+    if around:
+        region = around.pop()
+        for r in around:
+            while r != region:  # a region has a larger number than those around it
+                if r > region:
+                    r = page.parents[r]
+                else:
+                    region = page.parents[region]
+        while region in page.sections and not top[region]:  # a part of what is around it
+            region = page.parents[region]
+        inside = [False] * len(top)
+        for r in range(len(top)):
+            inside[r] = r == region or inside[page.parents[r]]
     else:
-        take = [top[line[4]] > 0 for line in lines]
-    return "\n".join(line[0] for line, out, yes in zip(lines, left_out, take)
-                     if line[0] and not out and yes)
+        inside = [t > 0 for t in top]
+    return "\n".join(line[0] for line, out in zip(lines, left_out)
+                     if line[0] and not out and inside[line[4]])
 
 
 def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
