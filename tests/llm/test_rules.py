@@ -84,3 +84,28 @@ def test_shards(edge, crowded, nothing, docs):
     assert counts[2] > 2 * max(counts[0], counts[1])
     less = {r["doc_id"]: r["shard"] for r in run(docs, [1.0, 1.0], None).collect()}
     assert all(less[r["doc_id"]] == r["shard"] for r in full if r["shard"] < 2)
+
+
+def test_whole_licences_as_they_are_in_use(spark):
+    mit, isc = (license_scan.KNOWN[i][2] for i in (0, 1))
+    curly = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS IS\u201d")
+    bsd = next(t for n, k, t in license_scan.KNOWN if (n, k) == ("BSD-3-Clause", "text"))
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\nCopyright \u00a9 2020 X. All rights reserved.\n" + curly),
+        ("MIT", mit.replace("NONINFRINGEMENT", "NON\u2011INFRINGEMENT")),
+        ("ISC", "ISC License\n\nCopyright 2020 Somebody\n" + isc),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n" + bsd),
+        (None, "MIT License\n" + mit + "\nand more"),
+    ]
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0",
+                 "CC0-1.0", "CC-BY-SA-4.0"):
+        text = license_scan.TEXTS[name]
+        assert len(text) > 6000
+        texts += [(name, text), (name, text.replace("'", "\u2019").replace(" - ", " \u2014 "))]
+    apache = license_scan.TEXTS["Apache-2.0"]
+    texts += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Somebody")),
+              ("Apache-2.0", apache[:apache.index("APPENDIX")])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: r[3] for r in license_scan.scan(docs, license_scan.known(spark)).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(texts)}

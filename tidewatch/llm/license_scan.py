@@ -8,15 +8,22 @@ that sources carry. All steps are SQL functions; texts do not enter a shuffle.
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.licence_texts import TEXTS
 from tidewatch.session import cut
 
 #: Spellings with one meaning: every left form is written as the right one. Applied to
 #: lower-case text in this order. Fixed values, from the public matching guidelines
 #: for licence texts.
 SPELLINGS = (
+    *((c, "'") for c in "\u2018\u2019\u201a\u201b\u2032"),
+    *((c, '"') for c in "\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb"),
+    *((c, "-") for c in "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"), ("\u00a0", " "),
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"),
     ("authoris", "authoriz"), ("behaviour", "behavior"), ("catalogue", "catalog"),
     ("centre", "center"), ("customis", "customiz"), ("favour", "favor"),
@@ -79,6 +86,87 @@ CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("CC0-1.0", "notice", "Released under CC0 1.0."),
 )
 
+_RIGHTS = ("", "All rights reserved.\n")
+
+#: Usual titles of the short licences. Fixed values.
+_TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)",
+            "Expat License"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("", "0BSD", "Zero-Clause BSD", "BSD Zero Clause License",
+             "BSD Zero Clause License (0BSD)", "Zero-Clause BSD (0BSD)"),
+    "BSD-2-Clause": ("", "BSD License", "BSD 2-Clause License", "The BSD 2-Clause License",
+                     'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("", "BSD License", "BSD 3-Clause License", "The BSD 3-Clause License",
+                     'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+}
+
+
+def _short_texts():
+    for name, kind, text in KNOWN[:3]:
+        texts = [text]
+        if name == "MIT":
+            texts.append(text.replace("this permission notice shall",
+                                      "this permission notice (including the next paragraph) shall"))
+        elif name == "ISC":
+            texts.append(text.replace("modify, and/or distribute", "modify, and distribute"))
+        yield from ((name, kind, t) for t in texts)
+    conditions = (
+        "Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution.")
+    promote = ("be used to endorse or promote products derived from this software without "
+               "specific prior written permission.")
+    for third, (by, liable), bullets in product(
+            ("", f"Neither the name of the copyright holder nor the names of its contributors may {promote}",
+             f"Neither the name of the University nor the names of its contributors may {promote}",
+             f"The name of the author may not {promote}"),
+            (("copyright holders and contributors", "copyright holder or contributors"),
+             ("copyright holders and contributors", "copyright holders or contributors"),
+             ("regents and contributors", "regents or contributors"),
+             ("author and contributors", "author or contributors"), ("author", "author")),
+            (("1. ", "2. ", "3. "), ("* ", "* ", "* "))):
+        listed = "\n".join(b + c for b, c in zip(bullets, (*conditions, third)) if c)
+        yield "BSD-3-Clause" if third else "BSD-2-Clause", "text", f"""Redistribution and use in source
+and binary forms, with or without modification, are permitted provided that the following conditions
+are met:
+{listed}
+THIS SOFTWARE IS PROVIDED BY THE {by} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE {liable} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE."""
+
+
+def _long_texts():
+    """Published texts with and without what follows the terms, as they are in use."""
+    for name, text in TEXTS.items():
+        forms = [text]
+        if name == "Apache-2.0":
+            # Where the line is filled in, it is a copyright line.
+            forms.append(text.replace("Copyright [yyyy] [name of copyright owner]", ""))
+        address = r"51 Franklin Street, Fifth Floor, Boston, MA +02110-1301 +USA"
+        if re.search(address, text):
+            forms.append(re.sub(address, "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", text))
+            forms.append(re.sub(address, "<https://fsf.org/>", text, count=1))
+        for form in forms:
+            yield name, "text", form
+            for end, kept in ((r"\n *END OF TERMS AND CONDITIONS", 1), (r"\nExhibit A - ", 0)):
+                found = re.search(end, form)
+                if found:
+                    yield name, "text", form[:found.end() if kept else found.start()]
+                    yield name, "text", form[:found.start()]
+
+
+KNOWN += tuple(dict.fromkeys((
+    *((n, k, f"{title}\n{rights}{t}") for n, k, t in _short_texts()
+      for title, rights in product(_TITLES[n], _RIGHTS)), *_long_texts())))
+
 
 def canonical(text: Column) -> Column:
     """Lower case (A to Z), copyright lines dropped, one spelling, words with single
