@@ -89,4 +89,47 @@ ORACLE = {
                + 64 * r6::INT AS failed_rules
         FROM judged
     """,
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT row_number() OVER () AS piece, lang, p FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+                FROM documents)),
+        words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (
+            SELECT lang, k, i, w FROM (
+                SELECT lang, w, unnest([1, 2, 3]) AS k FROM words),
+                LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+        f AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+            FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+        cuts AS (
+            SELECT lang, phrase, k, a, j, array_to_string(w[1:j], ' ') AS p1,
+                   array_to_string(w[j + 1:], ' ') AS p2
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+        scored AS (
+            SELECT c.*, x.a AS l, y.a AS r,
+                   (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p1
+            JOIN f y ON y.lang = c.lang AND y.phrase = c.p2),
+        best AS (
+            SELECT * FROM scored
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        cover AS (
+            SELECT lang, phrase, max(a) AS cover FROM (
+                SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM cand WHERE k = 3
+                UNION ALL
+                SELECT lang, array_to_string(w[2:3], ' ') AS phrase, a FROM cand WHERE k = 3)
+            GROUP BY ALL),
+        kept AS (
+            SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+                   AS rank
+            FROM best b LEFT JOIN cover c USING (lang, phrase)
+            WHERE c.cover IS NULL OR 100 * c.cover < 50 * b.a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+        WHERE rank <= 2000
+    """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import (html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
+from tidewatch.llm import (collocations, html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
                            sharding, suffix_dedup)
 from tidewatch.llm.common import table
 from tidewatch.llm.oracle import ORACLE  # noqa: F401  the queries' SQL, by name
@@ -69,6 +69,10 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.link(table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -80,4 +84,5 @@ REGISTRY = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_rule_ledger": op9_rule_ledger,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
