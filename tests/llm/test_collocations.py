@@ -28,15 +28,16 @@ def plain(rows, width=3, least=10, share=50, top=2000):
         if len(p) > 1 and a >= least:
             scored[lang, p] = min((1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k)
                                   for k in range(1, len(p)))
+    cover = Counter()
+    for lang, q in scored:
+        for k in range(2, len(q)):
+            for i in range(len(q) - k + 1):
+                cover[lang, q[i:i + k]] = max(cover[lang, q[i:i + k]], f[lang, q])
     out = []
     for lang in {g for g, _ in scored}:
-        kept = []
-        for (g, p), (score, k) in scored.items():
-            inside = any(h == lang and len(q) > len(p) and 100 * f[h, q] >= share * f[lang, p]
-                         and any(q[i:i + len(p)] == p for i in range(len(q)))
-                         for h, q in scored if h == g) if g == lang else True
-            if g == lang and not inside:
-                kept.append((-score, -f[g, p], " ".join(p).encode(), f[g, p[:k]], f[g, p[k:]]))
+        kept = [(-score, -f[g, p], " ".join(p).encode(), f[g, p[:k]], f[g, p[k:]])
+                for (g, p), (score, k) in scored.items()
+                if g == lang and not (cover[g, p] and 100 * cover[g, p] >= share * f[g, p])]
         for i, (score, a, phrase, left, right) in enumerate(sorted(kept)[:top]):
             out.append((lang, i + 1, phrase.decode(), -a, left, right, total[lang], -score))
     return sorted(out, key=repr)

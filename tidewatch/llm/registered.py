@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (collocations, html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
-                           sharding, suffix_dedup)
+                           sharding, suffix_dedup, whitening)
 from tidewatch.llm.common import table
 from tidewatch.llm.oracle import ORACLE  # noqa: F401  the queries' SQL, by name
 
@@ -73,6 +73,10 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -85,4 +89,5 @@ REGISTRY = {
     "op9_rule_ledger": op9_rule_ledger,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
