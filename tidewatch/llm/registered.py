@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import (collocations, html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
+from tidewatch.llm import (collocations, context_trees, html_text, license_scan, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
                            sharding, suffix_dedup, whitening)
 from tidewatch.llm.common import table
 from tidewatch.llm.oracle import ORACLE  # noqa: F401  the queries' SQL, by name
@@ -77,6 +77,11 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return context_trees.score(table(spark, folder, "documents"), held_out)
+
+
 REGISTRY = {
     "op1_license_scan": op1_license_scan,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -90,4 +95,5 @@ REGISTRY = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_context_tree_scores": op13_context_tree_scores,
 }
