@@ -18,7 +18,7 @@ def shingles(text):
         else frozenset([tuple(w)] if w else [])
 
 
-def plain(docs):
+def plain(docs, limit=85):
     """Every pair compared; docs without null ids."""
     sets = [(i, shingles(t)) for i, t in docs]
     parent = {i: i for i, _ in docs}
@@ -31,7 +31,7 @@ def plain(docs):
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
             shared = len(a & b)
-            if a and b and 100 * shared >= 85 * (len(a) + len(b) - shared):
+            if a and b and 100 * shared >= limit * (len(a) + len(b) - shared):
                 a_, b_ = root(i), root(j)
                 parent[max(a_, b_)] = min(a_, b_)
     return sorted(((i, len(s), root(i), root(i) == i) for i, s in sets), key=repr)

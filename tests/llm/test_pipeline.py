@@ -30,7 +30,7 @@ def test_stages(spark, folder, docs):
     assert sum(right) / len(right) > 0.95
 
     pairs = [tuple(r) for r in first.select("doc_id", "text").collect()]
-    want = {i for i, _, _, stays in test_near_dups.plain(pairs) if stays}
+    want = {i for i, _, _, stays in test_near_dups.plain(pairs, corpus_pipeline.NEAR) if stays}
     assert {r["doc_id"] for r in near.collect()} == want
 
     pairs = [tuple(r) for r in near.select("doc_id", "text").collect()]

@@ -7,11 +7,10 @@ expectations hold for every document while the words of a pair stay what they we
 
 Pairs are formed in a reduction tree: blocks of a source are rounded each by itself,
 and leave at most one fractional document, which the next level rounds with those of
-other blocks. In a block of documents, all with one fraction, the longest document is
-paired with all the others as one, which can take up its words; then the next longest,
-so that a small document is left over. Residuals have fractions of their own and are
-rounded two by two. A source with a third of all rows has many blocks, so no task holds a
-source. Draws are hashes, so reruns agree.
+other blocks. Within a block the longest documents come first, so that a long one is
+settled against the shorter ones after it and a short one is left over. The last document
+of a source is drawn with the chance that it has then. A source with a third of all rows
+has many blocks, so no task holds a source. Draws are hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,11 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WORD, uniform
-from tidewatch.session import cut
+from tidewatch.operators.ordered import row_index, running
+from tidewatch.session import cut, is_small, join_safe
 
 #: Documents that a block of the tree rounds one after the other.
 BLOCK = 512
 
+#: Sources whose targets one task finds.
+SOURCE_ROWS = 100_000
+
 #: A source gives at most so many times its words.
 MOST = 3
 
@@ -34,32 +37,30 @@ _NEAR = 1e-12
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0),
-            most: float = MOST) -> DataFrame:
+            most: float = MOST, hot_rows: int = SOURCE_ROWS) -> DataFrame:
     """Words to take from each source.
 
     ``sizes`` has one row per source: ``source``, ``source_size``. Sources by code
     point, null last, get the weights in turn and share the sum of all sizes. A target
     stops at ``most`` times its source's size and the excess is shared again by weight,
     which has one fixed point: targets are ``min(most * size, level * weight)``. With
-    sources ordered by size over weight the level is found in running sums. The table
-    has a row per source, so its windows are small.
+    sources ordered by size over weight the level is found in running sums. Beyond
+    ``hot_rows`` sources numbers and sums are made in range chunks, not in one task.
     """
-    n = len(weights)
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    s = (sizes.withColumn("_w", F.get(ws, (F.row_number().over(by_name) - 1) % n))
-         .withColumn("_cap", F.col("source_size") * float(most)))
-    by_cap = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    s = s.withColumn("_level", (F.sum("source_size").over(everything).cast("double")
-                                - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-                     / F.sum("_w").over(after))
+    hot = not is_small(sizes, hot_rows)
+    s = row_index(sizes.withColumn("_null", F.col("source").isNull()), [], ["_null", "source"], "_i",
+                  hot=hot, hot_rows=hot_rows)
+    s = s.select("source", "source_size", "_null", F.get(ws, (F.col("_i") - 1) % len(weights)).alias("_w"),
+                 (F.col("source_size") * float(most)).alias("_cap"))
+    s = cut(running(s.withColumn("_at", F.col("_cap") / F.col("_w")), [], ["_at", "_null", "source"],
+                    {"_caps": F.col("_cap"), "_ws": F.col("_w")}, hot=hot, hot_rows=hot_rows))
+    words, shares = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("_w")).first()
+    level = ((F.lit(float(words)) - (F.col("_caps") - F.col("_cap")))
+             / (F.lit(shares) - (F.col("_ws") - F.col("_w"))))
     # The first source that stays below its limit sets the level; there it is highest.
-    level = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"),
-                         F.col("_level"))).over(everything)
-    target = F.least(F.col("_cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("_w"))
+    top = s.agg(F.max(F.when(level * F.col("_w") <= F.col("_cap"), level))).first()[0]
+    target = F.least(F.col("_cap"), F.lit(float("inf") if top is None else top) * F.col("_w"))
     return s.select("source", "source_size", target.alias("target"))
 
 
@@ -87,7 +88,7 @@ def _step(seed: int):
         cs, us = c["size"].cast("double"), u["size"].cast("double")
         up = F.least((1 - c["p"]) * cs, u["p"] * us)
         down = F.least(c["p"] * cs, (1 - u["p"]) * us)
-        draw = uniform(seed, c["doc_id"], u["doc_id"], c["size"], u["size"])
+        draw = uniform(seed, u["source"], c["doc_id"], u["doc_id"], c["size"], u["size"])
         moved = F.when(draw * (up + down) < down, up).otherwise(-down)
         pair = F.array(_with(c, c["p"] + moved / cs), _with(u, u["p"] - moved / us))
         first = F.struct(acc["done"].alias("done"), _with(u, u["p"]).alias("carry"))
@@ -99,45 +100,7 @@ def _step(seed: int):
     return step
 
 
-def _pool_step(seed: int):
-    """Round a document against all that follow it in its block, which share its
-    fraction: ``want`` of ``all`` words are to be taken.
-
-    The draw decides where the others can take up the words either way. Where they can
-    only one way (a document longer than all that is wanted, or left), that way is
-    taken, as a source is to come near its target; where neither, it is the residual.
-    """
-
-    def step(acc: Column, u: Column) -> Column:
-        s = u["size"].cast("double")
-        f, rest = acc["want"] / acc["all"], acc["all"] - s
-        near = 1e-9 * s
-        can_take, can_leave = acc["want"] >= s - near, acc["want"] <= rest + near
-        draw = uniform(seed, u["doc_id"], u["size"], u["source"])
-        taken = can_take & (~can_leave | (draw < f))
-        left = can_leave & ~taken
-
-        def state(done, carry, want, all_, bit):
-            return F.struct(done.alias("done"), carry.alias("carry"), want.alias("want"),
-                            all_.alias("all"), bit.alias("bit"))
-
-        def with_done(p: Column) -> Column:
-            return F.concat(acc["done"], F.array(_with(u, p)))
-
-        none = acc["carry"]
-        # What follows is taken as a whole, and u makes up for the rest.
-        over = (acc["want"] - rest) / s
-        return (F.when(acc["bit"].isNotNull(),
-                       state(with_done(acc["bit"]), none, acc["want"], acc["all"], acc["bit"]))
-                .when(taken | left,
-                      state(with_done(F.when(taken, 1.0).otherwise(0.0)), none,
-                            acc["want"] - F.when(taken, s).otherwise(0.0), rest, acc["bit"]))
-                .otherwise(state(acc["done"], _with(u, over), acc["want"], rest, F.lit(1.0))))
-
-    return step
-
-
-def _level(units: DataFrame, seed: int, kind: str, first: bool) -> DataFrame:
+def _level(units: DataFrame, seed: int, kind: str) -> DataFrame:
     """One level of the tree: a row per block with its rounded units and its residual."""
     counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     known = (units.alias("u").join(counts.alias("c"),
@@ -150,21 +113,9 @@ def _level(units: DataFrame, seed: int, kind: str, first: bool) -> DataFrame:
                .agg(F.sort_array(F.collect_list(
                    F.struct((-F.col("size")).alias("o"), "doc_id", "source", "size", "base",
                             "p"))).alias("units")))
-    done, none = F.array().cast(f"array<{kind}>"), F.lit(None).cast(kind)
-    if not first:
-        start = F.struct(done.alias("done"), none.alias("carry"))
-        return grouped.select(F.aggregate("units", start, _step(seed)).alias("r")).select("r.*")
-    words = F.aggregate("units", F.lit(0.0), lambda a, u: a + u["size"])
-    start = F.struct(done.alias("done"), none.alias("carry"),
-                     (words * F.get("units", F.lit(0))["p"]).alias("want"), words.alias("all"),
-                     F.lit(None).cast("double").alias("bit"))
-    rounded = grouped.select(F.aggregate("units", start, _pool_step(seed)).alias("r"))
-    # A residual that came out whole is settled as well.
-    whole = _whole(F.col("r.carry.p"))
-    return rounded.select(
-        F.when(F.coalesce(whole, F.lit(False)), F.concat("r.done", F.array("r.carry")))
-        .otherwise(F.col("r.done")).alias("done"),
-        F.when(~whole, F.col("r.carry")).alias("carry"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"),
+                     F.lit(None).cast(kind).alias("carry"))
+    return grouped.select(F.aggregate("units", start, _step(seed)).alias("r")).select("r.*")
 
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -174,9 +125,10 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     The size is the number of words (null text: 0); documents without words are taken
     as often as the whole part of their source's rate, which adds no word. Null sources
-    form a source. Repeated rows are rounded each by itself. The last residual of a
-    source, one document, is rounded to the nearer side, so a source misses its target
-    by at most half of one document.
+    form a source. Repeated rows are rounded each by itself. Every document is taken its
+    expected number of times on average over seeds; the words of a source change only
+    where its last document is drawn, so a source misses its target by less than one
+    document.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
@@ -200,7 +152,7 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     most = current.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     level = 0
     while most > 0:
-        blocks = cut(_level(current, seed + level, kind, level == 0))
+        blocks = cut(_level(current, seed + level, kind))
         done.append(blocks.select(F.explode("done").alias("u")).select("u.*"))
         current = blocks.filter(F.col("carry").isNotNull()).select("carry.*")
         # As many residuals as blocks: the levels end with one block for each source.
@@ -211,7 +163,10 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    n = F.col("o.base") + (F.col("o.p") >= 0.5).cast("long")
+    # Only the last document of a source is still a fraction.
+    last = uniform(seed, F.lit("last"), F.col("o.source"), F.col("o.doc_id"), F.col("o.size"))
+    drawn = F.when(_whole(F.col("o.p")), F.col("o.p") > 0.5).otherwise(last < F.col("o.p"))
+    n = F.col("o.base") + drawn.cast("long")
     return (out.alias("o").join(g, F.col("o.source").eqNullSafe(F.col("g.source")))
             .select("o.doc_id", "o.source", "o.size", "g.source_size", "g.target",
                     n.alias("copies"), (n * F.col("o.size")).alias("taken")))
@@ -221,16 +176,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         source: str = "source", **kw) -> DataFrame:
     """The mixed rows, all columns: each document as often as its number of copies.
 
-    Rows that repeat a document's id are matched to its copy numbers one by one.
+    Rows meet their copy numbers by id, source and size; rows that share all three are
+    numbered on both sides, so that each gets one of their numbers.
     """
     plan = copies(docs, doc_id=doc_id, text=text, source=source, **kw)
-    nth = Window.partitionBy("doc_id").orderBy(F.desc("copies"))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"),
-                       F.row_number().over(nth).alias("_mix_nth"))
-    own = Window.partitionBy(doc_id).orderBy(F.octet_length(text), F.xxhash64(text))
-    rows = docs.withColumn("_mix_row", F.row_number().over(own))
-    joined = rows.join(plan.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_mix_id"))
-                       & (F.col("_mix_row") == F.col("_mix_nth")))
+    same = ["_mix_id", "_mix_source", "_mix_size"]
+    own = Window.partitionBy(*same)
+    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"),
+                       F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
+    plan = plan.withColumn("_mix_nth", F.row_number().over(own.orderBy(F.desc("_mix_copies"))))
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumns({"_mix_id": F.col(doc_id), "_mix_source": F.col(source), "_mix_size": size})
+    rows = rows.withColumn("_mix_nth", F.row_number().over(own.orderBy(F.xxhash64(text))))
+    joined = join_safe(rows, plan.hint("merge"), [*same, "_mix_nth"])
     times = F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))
     return (joined.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(times))
             .select(*[F.col(c) for c in docs.columns]))
