@@ -95,3 +95,44 @@ def test_marked_wrappers(source, want):
 ])
 def test_all_of_the_region(source, want):
     assert main_text(source) == (want or f"{T}\n{T}\n{T}\nMore\none\ntwo")
+
+
+C = "<p>A reader writes at length about the article and about what others have written on it.</p>" * 20
+
+
+@pytest.mark.parametrize("source,want", [
+    (f"<article>{P}<section id='comments'>{C}</section></article>", T),
+    (f"<article>{P}<div class='comments'>{C}</div></article>", T),
+    (f"<body><div id='story'>{P}</div><div class='comments'>{C}</div></body>", T),
+    (f"<body><div id='story'>{P}</div><div class=comments><article class=comment>{C}</article></div></body>", T),
+    (f"<body><div class=post>{P}<ol class=commentlist><li>{C}</ol></div></body>", T),
+    (f"<article><p>One short sentence.</p><div class='newsletter box'>{P * 3}</div></article>",
+     "One short sentence."),
+    (f"<body><div class='page'>{P}<div class='comments-area comment-list-2'>{C}</div></div></body>", T),
+    (f"<article class='comments-open post'>{P}<div class='ad-slot'>{C}</div></article>", T),
+    # Code is full of comments that are its own.
+    (f"<article>{P}<pre><span class='comment'># why</span> x = 1</pre></article>", f"{T}\n# why x = 1"),
+])
+def test_foreign_text_is_never_returned(source, want):
+    assert main_text(source) == want
+
+
+@pytest.mark.parametrize("bad", ["<![foo[ x ]]>", "<![endif]-->", "<!>", "<!doctype", "<![", "<!ELEMENT x", "</>",
+                                 "<?php x ?>", "&#xFFFFFFFF;", "&#0;", "<a b='", "<![CDATA[ x > ]]>", "<!-->"])
+def test_broken_markup_loses_no_text(bad):
+    assert T in main_text(f"<body><article>{P}{bad}</article><article>{P}</article></body>")
+    main_text(bad)
+
+
+def test_any_string():
+    import random
+    draw = random.Random(5)
+    parts = ["<", ">", "!", "[", "]", "&", "#", ";", "-", "/", "'", '"', "=", " ", "a", "p", "div", "script", "article",
+             "class=", "comments", "x" * 30, "\n", "\0", "é", "--", "?", "CDATA", "svg"]
+    for _ in range(10_000):
+        main_text("".join(draw.choice(parts) for _ in range(draw.randrange(40))))
+
+
+def test_a_page_of_20_mb():
+    text = main_text(page("".join(f"<p>{BODY}{i}</p>" for i in range(220_000)) + "<![x[ " + "< " * 1000))
+    assert text.count("\n") >= 219_999 and len(text) > 17_000_000

@@ -5,8 +5,9 @@ lines. A line's ratio is its characters outside links per tag in it. Ratios are
 smoothed with a Gaussian, lines above a threshold form clusters, and the lowest container
 of all clustered lines is the content region; if some are in an article or main, it is the
 lowest one of those. A section is a part of the container around it. Lines in elements
-that are never content (menus, forms and the like) count as ratio 0 and are left out. What
-class, id or role mark as such is judged when the clusters are known, since wrappers of
+that are never content (menus, forms and the like) count as ratio 0 and are left out, and
+so are blocks that class or id name as comments, adverts, newsletters or consent. What
+class, id or role otherwise mark is judged when the clusters are known, since wrappers of
 the whole text have such names too.
 """
 
@@ -52,6 +53,15 @@ _MARKS = re.compile(
     r"comments?|disqus|replies|related|recommended|recommendations|widget|toolbar|pagination|"
     r"pager|skip|complementary|contentinfo|search)(?:$|[\s_\d-])", re.I)
 
+#: Names of blocks that others have written or sell, whatever their length: one of the first
+#: words, with what kind of block it is. Fixed values.
+_FOREIGN = re.compile(
+    r"(?:^|\s)(?:comments?|replies|reply|respond|disqus|ads?|adverts?|advertisements?|adsense|"
+    r"sponsored|newsletters?|subscribe|subscription|cookies?|consent|gdpr)"
+    r"(?:[\s_-]*(?:comments?|replies|respond|list|area|section|threads?|box|blocks?|wrap|wrapper|container|body|"
+    r"content|form|item|items|banner|bar|notice|slot|unit|signup|inner|text|entry|post|holder|popup|modal|"
+    r"overlay|\d+))*(?=\s|$)", re.I)
+
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -67,9 +77,9 @@ class _Events(HTMLParser):
         self.content: set[int] = set()
         self.sections: set[int] = set()
         #: Mark around each region, and marked elements: mark around them, whether they
-        #: are an article, whether they are inside an article or main.
+        #: are an article, whether they are inside an article or main, whether foreign.
         self.region_marks = [0]
-        self.marks: list[tuple[int, bool, bool]] = [(0, False, False)]
+        self.marks: list[tuple[int, bool, bool, bool]] = [(0, False, False, False)]
         self._text: list[str] = []
         self._linked = self._tags = self._anchors = 0
 
@@ -102,9 +112,11 @@ class _Events(HTMLParser):
         if not out:
             out = tag in _NEVER or (tag == "header" and not self._inside_content(region)) \
                 or (not whole and self._hidden(attrs))
-        if not out and not whole and self._marked(attrs):
-            self.marks.append((mark, tag == "article", self._inside_content(region)))
-            mark = len(self.marks) - 1
+        if not out and not whole:
+            foreign = tag in _BLOCKS and self._named(attrs, _FOREIGN, ("class", "id"))
+            if foreign or self._named(attrs, _MARKS, ("class", "id", "role")):
+                self.marks.append((mark, tag == "article", self._inside_content(region), foreign))
+                mark = len(self.marks) - 1
         if tag in _REGIONS:
             new = len(self.parents)
             self.parents[new] = region
@@ -126,11 +138,8 @@ class _Events(HTMLParser):
         return False
 
     @staticmethod
-    def _marked(attrs: list) -> bool:
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value and _MARKS.search(value):
-                return True
-        return False
+    def _named(attrs: list, pattern: re.Pattern, places: tuple[str, ...]) -> bool:
+        return any(value and pattern.search(value) for name, value in attrs if name in places)
 
     @staticmethod
     def _hidden(attrs: list) -> bool:
@@ -141,6 +150,11 @@ class _Events(HTMLParser):
                 return True
         return False
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` is a comment up to the next ``>``, whatever it holds."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
@@ -193,7 +207,8 @@ def _dense(lines: list, left_out: list[bool], sigma: float, strength: float) ->
 def _dropped(page: _Events, dense: np.ndarray) -> list[bool]:
     """For each mark, whether what is inside it is left out.
 
-    An article is not left out for its own mark. A marked container stays if it holds an
+    What is foreign always is. Otherwise an article is not left out for its own mark, and a
+    marked container stays if it holds an
     article and no less clustered text than the articles outside marked containers, or if
     it holds half of all clustered text and no article stands against it.
     """
@@ -204,10 +219,15 @@ def _dropped(page: _Events, dense: np.ndarray) -> list[bool]:
         within[m] = within[parents[m]] or not page.marks[m][1]
     for r in page.content:
         holds[page.region_marks[r]] = True
+    foreign = [False] * len(parents)
+    for m in range(1, len(parents)):
+        foreign[m] = page.marks[m][3] or foreign[parents[m]]
     total = articles = 0
     top = _top_content(page, page.content)
     for i in np.flatnonzero(dense):
         text, linked, _, _, region, mark = page.lines[i]
+        if foreign[mark]:
+            continue
         chars[mark] += len(text) - linked
         total += len(text) - linked
         if top[region] and not within[mark]:
@@ -217,10 +237,10 @@ def _dropped(page: _Events, dense: np.ndarray) -> list[bool]:
         holds[parents[m]] |= holds[m]
     dropped = [False] * len(parents)
     for m in range(1, len(parents)):
-        around, article, inside = page.marks[m]
-        stays = article or chars[m] > 0 and (
+        around, article, inside, _ = page.marks[m]
+        stays = not foreign[m] and (article or chars[m] > 0 and (
             holds[m] and chars[m] >= articles
-            or 2 * chars[m] >= total and (not articles or holds[m] or inside))
+            or 2 * chars[m] >= total and (not articles or holds[m] or inside)))
         dropped[m] = dropped[around] or not stays
     return dropped
 
@@ -282,7 +302,7 @@ def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
 
     A null or empty page, and one without main text, gives ''. Pages are read one at
     a time inside the tasks, so a long page costs its own length in memory. Markup that
-    is not closed ends with the page. Columns named like the new ones are replaced.
+    is not closed ends with the page; no markup, however broken, is an error. Columns named like the new ones are replaced.
     """
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
 

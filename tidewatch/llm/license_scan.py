@@ -28,8 +28,7 @@ SPELLINGS = (
     ("authoris", "authoriz"), ("behaviour", "behavior"), ("catalogue", "catalog"),
     ("centre", "center"), ("customis", "customiz"), ("favour", "favor"),
     ("fulfil ", "fulfill "), ("honour", "honor"), ("initialis", "initializ"),
-    ("judgement", "judgment"), ("labour", "labor"), ("merchantability", "merchantability"),
-    ("non-infringement", "noninfringement"), ("organis", "organiz"), ("practise", "practice"),
+    ("judgement", "judgment"), ("labour", "labor"), ("non-infringement", "noninfringement"), ("organis", "organiz"), ("practise", "practice"),
     ("recognis", "recogniz"), ("sub-license", "sublicense"), ("utilis", "utiliz"),
     ("whilst", "while"), ("wilful", "willful"), ("copyright holder", "copyright owner"),
     ("per cent", "percent"), ("https", "http"),
@@ -86,6 +85,36 @@ CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("CC0-1.0", "notice", "Released under CC0 1.0."),
 )
 
+#: Names of licences in notices, by identifier. Fixed values.
+_NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License Version 2.0", "Apache License 2.0",
+                   "Apache 2.0 License", 'Apache License, Version 2.0 (the "License")'),
+    "MIT": ("MIT License", "MIT licence (MIT)"),
+    "ISC": ("ISC License",),
+    "0BSD": ("Zero-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"),
+}
+_WORDINGS = ("Licensed under", "Licensed under the", "Licensed under a", "Released under the", "Released under",
+             "Distributed under the", "Available under the", "This work is licensed under a",
+             "This work is licensed under the", "This project is licensed under the",
+             "This software is licensed under the", "License:")
+
+KNOWN += tuple((name, "notice", f"{wording} {title}") for name, titles in _NAMES.items()
+               for title in titles for wording in _WORDINGS)
+KNOWN += tuple((name, "notice", f"SPDX-License-Identifier: {name}{end}") for name in _NAMES
+               for end in (("", "-only", "-or-later") if "GPL" in name else ("",)))
+
 _RIGHTS = ("", "All rights reserved.\n")
 
 #: Usual titles of the short licences. Fixed values.
@@ -209,13 +238,13 @@ def scan(docs: DataFrame, licences: DataFrame, *, doc_id: str = "doc_id",
     rows = forms.select(
         "doc_id", one_line(F.col("_form")).alias("_whole"),
         F.filter(F.transform(F.split("_form", "\n"), lambda s: F.trim(s)),
-                 lambda s: s.rlike("licen|releas|copy|permi|spdx")).alias("_lines"))
+                 lambda s: s != "").alias("_lines"))
     # Kept, as both joins need it: a few digests for each text.
     rows = cut(rows.select("doc_id", digest(F.col("_whole")).alias("digest"),
                            F.length("_whole").cast("long").alias("n_chars"),
                            F.array_sort(F.array_distinct(F.transform(
                                "_lines", lambda s: F.sha2(s, 256)))).alias("_digests")))
-    # Rows with lines to look up are few; equal rows get equal answers.
+    # Every line is looked up, as a notice may have any words; equal rows get equal answers.
     hits = (rows.filter(F.size("_digests") > 0)
             .select("doc_id", "digest", F.explode("_digests").alias("_line"))
             .join(licences.select(F.col("digest").alias("_line"),
