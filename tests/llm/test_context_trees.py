@@ -112,7 +112,7 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("depth", [0, 2, 6])
 def test_blocks_and_pieces(spark, monkeypatch, depth):
-    for name, size in (("BLOCK_BYTES", 300), ("PIECE_BYTES", 50), ("CHUNK_BYTES", 120)):
+    for name, size in (("BLOCK_BYTES", 300), ("PIECE_BYTES", 50), ("CHUNK_BYTES", 120), ("BUCKETS", 9)):
         monkeypatch.setattr(context_trees, name, size)
     rng = np.random.default_rng(depth)
     words = ["the", "The", "of", "größe", "\x1cx", "\0", "a" * 70, "b"]
@@ -140,7 +140,19 @@ def test_estimate(spark):
     pairs = [(0, 0), (1, 0), (3, 5), (100, 7), (10**6, 3), (10**9, 10**9)]
     got = spark.createDataFrame(pairs, "a long, b long").select(
         context_trees._estimate(F.col("a"), F.col("b"))).collect()
-    assert all(math.isclose(r[0], log_kt(a, b), rel_tol=1e-9, abs_tol=1e-8) for r, (a, b) in zip(got, pairs))
+    a, b = np.array(pairs, dtype=float).T
+    for values in ([r[0] for r in got], context_trees._estimate_of(a, b)):
+        assert all(math.isclose(v, log_kt(*p), rel_tol=1e-9, abs_tol=1e-8) for v, p in zip(values, pairs))
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 56, 1000))
+    for some in (keys, keys[:1], keys[:0]):
+        assert (context_trees._unpack_keys(context_trees._pack_keys(some)) == some).all()
+        assert (context_trees._unpack(context_trees._pack(some / 3), np.float64) == some / 3).all()
+    words = [b"", b"a", b"\0", "ß".encode()]
+    assert context_trees._unpack_words(context_trees._pack_words(words)) == words
 
 
 def test_pieces_keep_the_text():
