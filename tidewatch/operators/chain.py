@@ -23,14 +23,41 @@ from tidewatch.session import cut
 BLOCK_ROWS = 500_000
 
 
-def _walk(pos: np.ndarray, nxt: np.ndarray, entry: int) -> list[int]:
+def chain_from(where: np.ndarray, entry: int) -> np.ndarray:
+    """Indices of the chain ``entry, where[entry], ...`` up to the array's end, rising.
+
+    The members so far jump together over strides that double: as many gathers as the
+    logarithm of the chain, and no step for a single row.
+    """
+    n = len(where)
+    jump = np.append(where, n)
+    picked = np.array([entry] if entry < n else [], dtype=np.int64)
+    while len(picked):
+        ahead = jump[picked]
+        ahead = ahead[ahead < n]
+        if not len(ahead):
+            break
+        picked = np.append(picked, ahead)
+        jump = jump[jump]
+    return np.sort(picked)
+
+
+def _last_inside(where: np.ndarray) -> np.ndarray:
+    """For each index the last one of its chain before the array's end, by doubling."""
+    n = len(where)
+    strides = [np.append(where, n)]
+    while (strides[-1] < n).any():
+        strides.append(strides[-1][strides[-1]])
+    at = np.arange(n)
+    for jump in reversed(strides):
+        ahead = jump[at]
+        at = np.where(ahead < n, ahead, at)
+    return at
+
+
+def _walk(pos: np.ndarray, nxt: np.ndarray, entry: int) -> np.ndarray:
     """Positions of the chain from ``entry`` while it stays inside ``pos``."""
-    where = np.searchsorted(pos, nxt)
-    picked, i, n = [], int(np.searchsorted(pos, entry)), len(pos)
-    while i < n:
-        picked.append(i)
-        i = int(where[i])
-    return picked
+    return chain_from(np.searchsorted(pos, nxt), int(np.searchsorted(pos, entry)))
 
 
 def _walk_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -44,12 +71,8 @@ def _exits_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Where the chain leaves the block, for every row it could enter at."""
     pdf = pdf.sort_values("pos")
     pos, nxt = pdf["pos"].to_numpy(), pdf["nxt"].to_numpy()
-    where = np.searchsorted(pos, nxt).tolist()
-    out = nxt.tolist()
-    for i in range(len(out) - 1, -1, -1):
-        if where[i] < len(out):
-            out[i] = out[where[i]]
-    return pdf[["shard", "pos"]].assign(nxt=np.asarray(out, dtype="int64"))
+    out = nxt[_last_inside(np.searchsorted(pos, nxt))]
+    return pdf[["shard", "pos"]].assign(nxt=out.astype("int64"))
 
 
 def _reachable(starts: DataFrame, jumps: DataFrame) -> DataFrame:

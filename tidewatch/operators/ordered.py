@@ -9,13 +9,16 @@ need from each other is a table with one row per (key, chunk).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from tidewatch.session import HOT_ROWS, cut, lookup_side
+from tidewatch.session import HOT_ROWS, cut, join_safe, lookup_side
 
 _CHUNK = "_tw_chunk"
 _BLOCK = "_tw_block"
@@ -104,6 +107,16 @@ def bounded_frame(df: DataFrame, keys: list[str], order: list[str],
         w = _key_window(keys).orderBy(*order)
         return df.withColumns({n: e(w) for n, e in exprs.items()})
 
+    copies, own = blocks(df, keys, order, before, after, hot_rows=hot_rows)
+    w = Window.partitionBy(*keys, _BLOCK).orderBy(_POS)
+    return copies.withColumns({n: e(w) for n, e in exprs.items()}).filter(own).drop(_BLOCK, _POS)
+
+
+def blocks(df: DataFrame, keys: list[str], order: list[str], before: int, after: int, *,
+           hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Column]:
+    """Rows in blocks of consecutive rows of a key, those next to an edge copied to the
+    neighbour that needs them; and which rows of a block are its own. Adds the block
+    and the 1-based position within the key."""
     size = max(hot_rows, before + after + 1)
     indexed = row_index(df, keys, order, _POS, hot=True, hot_rows=hot_rows)
     pos = F.col(_POS) - 1
@@ -113,10 +126,78 @@ def bounded_frame(df: DataFrame, keys: list[str], order: list[str],
 
     copies = indexed.withColumn(_BLOCK, F.explode(F.sequence(
         block(F.greatest(pos - after, F.lit(0))), block(pos + before))))
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(_POS)
-    return (copies.withColumns({n: e(w) for n, e in exprs.items()})
-            .filter(F.col(_BLOCK) == block(pos))
-            .drop(_BLOCK, _POS))
+    return copies, F.col(_BLOCK) == block(pos)
+
+
+def compose(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> None:
+    """Replace each map ``x -> a * x + b`` by the maps from its run's first one up to it.
+
+    ``first`` marks where runs begin. Maps are composed over strides that double, so the
+    steps are the logarithm of the longest run; a run ends early where a map is constant.
+    """
+    shut = first | (a == 0)
+    stride = 1
+    while stride < len(a) and not shut[stride:].all():
+        free = ~shut[stride:]
+        b[stride:] += np.where(free, a[stride:] * b[:-stride], 0.0)
+        a[stride:] = np.where(free, a[stride:] * a[:-stride], a[stride:])
+        shut[stride:] |= shut[:-stride]
+        stride *= 2
+
+
+def _composed(a_name: str, b_name: str, first_name: str):
+    """Task function: rows come key by key in order, and leave with composed maps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (1.0, 0.0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            a, b = (np.array(batch.column(names.index(n)), dtype=float) for n in (a_name, b_name))
+            first = np.array(batch.column(names.index(first_name)), dtype=bool)
+            compose(a, b, first)
+            # Rows up to the first new key go on from the batch before.
+            old = int(first.argmax()) if first.any() else len(first)
+            b[:old] += a[:old] * last[1]
+            a[:old] *= last[0]
+            last = (a[-1], b[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a) if n == a_name else pa.array(b) if n == b_name else batch.column(i)
+                 for i, n in enumerate(names)], names=names)
+
+    return run
+
+
+def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: Column, b: Column,
+                name: str, *, hot: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``name``: per key in order, ``x = a * x + b``, from zero on.
+
+    A sum is the case ``a = 1``, a decayed sum ``a < 1``, and ``a = 0`` starts anew. Maps
+    compose, so a large key is computed in chunks side by side: each composes its own
+    maps, the chunks' maps are scanned in turn, and each row applies its map to what its
+    chunk starts from. ``a`` and ``b`` must not be null.
+    """
+    if hot is None:
+        hot = has_hot_key(df, keys, hot_rows)
+    at, bt, first = "_tw_a", "_tw_b", "_tw_first"
+    rows = df.withColumns({at: a.cast("double"), bt: b.cast("double")})
+    group = [*keys]
+    if hot:
+        rows = _chunked(rows, keys, order, hot_rows)
+        group = [_CHUNK, *keys]
+    # The window leaves the rows of a task key by key and in order.
+    starts = F.row_number().over(_key_window(group).orderBy(*order)) == 1
+    rows = rows.withColumn(first, starts)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    maps = rows.mapInArrow(_composed(at, bt, first), schema).drop(first)
+    if not hot:
+        return maps.withColumnRenamed(bt, name).drop(at)
+    maps = cut(maps)
+    totals = maps.groupBy(*group).agg(F.max_by(F.struct(at, bt), F.struct(*order)).alias("_m"))
+    reached = affine_scan(totals, keys, [_CHUNK], F.col("_m")[at], F.col("_m")[bt], "_tw_x", hot=False)
+    before = F.lag("_tw_x", 1, 0.0).over(_key_window(keys).orderBy(_CHUNK))
+    joined = join_safe(maps, reached.select(*group, before.alias("_tw_x")), group)
+    return joined.withColumn(name, F.col(at) * F.col("_tw_x") + F.col(bt)).select(*df.columns, name)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,

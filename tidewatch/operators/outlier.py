@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import l2_norm, min_max
-from tidewatch.operators.chain import BLOCK_ROWS, follow_chain
+from tidewatch.operators.chain import BLOCK_ROWS, chain_from, follow_chain
 from tidewatch.operators.ordered import (
+    _BLOCK,
+    _POS,
+    affine_scan,
+    blocks,
     bounded_frame,
     has_hot_key,
     row_index,
     running,
     top_per_group,
 )
-from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, cut, join_safe, lookup_side
+from tidewatch.session import HOT_ROWS, cut, join_safe, lookup_side
 
 # Decay per observation, and the share of the largest possible
 # profile that raises a reset.
@@ -109,11 +118,11 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
 
     Machines and scopes may be null and then form one of their own; observations
     without score or tick are left out. No pass over all rows in time order is
-    needed: scores are at least ``min_score``, so a profile that starts from zero passes the limit within a
-    fixed number of observations. That gives, for each observation, the tick at
-    which a profile starting there would reset; the smallest such tick per tick
-    points from one reset to the next, and following these pointers yields all
-    resets. Between resets a profile is a short sum.
+    needed: scores are at least ``min_score``, so a profile that starts from zero passes
+    the limit within a fixed number of observations. A search that far gives, for each
+    observation, the tick at which a profile starting there would reset; the smallest
+    such tick per tick points from one reset to the next, and following these pointers
+    yields all resets. Given them, a profile is a scan of affine maps.
     """
     factor = math.exp(-lam)
     limit = RESET_SHARE / (1.0 - factor)
@@ -134,99 +143,159 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
             *[F.lit(None).cast(kinds[c]).alias(c) for c in order],
             "score", F.col("anomaly_score").alias("_add")))
     obs = cut(obs)
-    sizes = obs.groupBy("scope").agg(F.count_distinct("_tick").alias("ticks"))
-    tick_count = sizes.agg(F.max("ticks")).first()[0] or 0
+    # The row count comes from file footers and mostly says that nothing is large.
+    n_rows = obs.count()
+    small = n_rows <= min(hot_rows, block_rows)
+    tick_count = n_rows if small else (
+        obs.groupBy("scope").agg(F.count_distinct("_tick").alias("n")).agg(F.max("n")).first()[0])
     many_ticks = tick_count > hot_rows
     # Tick numbers per scope are the positions of the pointer chain.
-    ticks = tick_numbers(obs, "_tick", "scope", hot=many_ticks, hot_rows=hot_rows)
-    numbered = cut(ticks)
-    spans = _spans(obs, machine, order, factor, limit, reach, numbered, tick_count,
-                   scope == "global", hot_rows, block_rows)
-    if scope == "global" and tick_count <= BROADCAST_ROWS:
-        numbered = F.broadcast(numbered)
-    every = spans.select("scope", machine, "anomaly_score", "score",
+    ticks = cut(tick_numbers(obs, "_tick", "scope", hot=many_ticks, hot_rows=hot_rows))
+    keys = ["scope", machine]
+    hot = not small and has_hot_key(obs, keys, hot_rows)
+    obs = join_safe(obs, ticks, ["scope", "_tick"]).drop("_tick")
+    in_order = ["tick_no", *order]
+    earliest = _first_passages(obs, keys, in_order, factor, limit, reach, hot, hot_rows)
+    if tick_count <= block_rows:
+        epochs = cut(earliest.groupBy("scope").applyInPandas(
+            _epochs_group, _epochs_schema(obs)))
+    else:
+        epochs = _epochs(earliest, ticks, many_ticks, hot_rows, block_rows)
+    spans = _spans(join_safe(obs, epochs, ["scope", "tick_no"]), ticks, keys, in_order, factor,
+                   hot, hot_rows)
+    every = spans.select(*keys, "anomaly_score", "score",
                          F.explode(F.sequence("lo", "hi")).alias("tick_no"))
-    out = (join_safe(every, numbered, ["scope", "tick_no"])
+    out = (join_safe(every, ticks, ["scope", "tick_no"])
            .select("scope", F.col("_tick").alias(tick), machine, "anomaly_score", "score"))
     if carry is None:
         return out
     return join_safe(out, carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
 
 
-def _spans(obs: DataFrame, machine: str, order: list[str], factor: float, limit: float,
-           reach: int, ticks: DataFrame, tick_count: int, one_scope: bool, hot_rows: int,
-           block_rows: int) -> DataFrame:
-    """``(scope, machine, lo, hi, anomaly_score, score)``: a value that stands from
-    tick ``lo`` to ``hi``."""
-    keys = ["scope", machine]
-    hot_machine = has_hot_key(obs, keys, hot_rows)
-    many_ticks = tick_count > hot_rows
-    obs = join_safe(obs, ticks, ["scope", "_tick"]).drop("_tick")
-    in_order = ["tick_no", *order]
-
-    ahead = bounded_frame(obs, keys, in_order, {
-        "_ahead": lambda w: F.collect_list(F.struct("tick_no", "_add")).over(
-            w.rowsBetween(0, reach - 1)),
-        "_seen": lambda w: F.count("tick_no").over(w.rowsBetween(-1, -1)),
-    }, before=1, after=reach - 1, hot=hot_machine, hot_rows=hot_rows)
-    start = F.struct(F.lit(0.0).alias("p"), F.lit(None).cast("long").alias("hit"),
-                     (F.col("_seen") > 0).alias("tested"))
-
-    def step(acc, x):
-        p = acc["p"] * factor + x["_add"]
-        hit = F.when(acc["tested"] & (p > limit), x["tick_no"])
-        return F.struct(p.alias("p"), F.coalesce(acc["hit"], hit).alias("hit"),
-                        F.lit(True).alias("tested"))
-
-    earliest = (ahead.select("scope", "tick_no",
-                             F.aggregate("_ahead", start, step)["hit"].alias("hit"))
-                .groupBy("scope", "tick_no").agg(F.min("hit").alias("hit")))
-    resets = _reset_ticks(earliest, hot_rows, tick_count > block_rows, block_rows)
-
-    # Epoch = number of resets before the tick.
+def passages(add: np.ndarray, first: np.ndarray, seen: np.ndarray, factor: float, limit: float,
+             reach: int) -> np.ndarray:
+    """For each row the index at which a profile that starts from zero there passes the
+    limit within its run, or -1. ``seen`` is off where the start itself is not tested."""
+    hit = np.full(len(add), -1, dtype=np.int64)
+    start = np.arange(len(add))
+    profile = np.zeros(len(add))
+    for k in range(reach):
+        at = start + k
+        inside = at < len(add)
+        if k:
+            inside[inside] &= ~first[at[inside]]
+        start, profile, at = start[inside], profile[inside], at[inside]
+        profile = profile * factor + add[at]
+        passed = profile > limit
+        if k == 0:
+            passed &= seen[start]
+        hit[start[passed]] = at[passed]
+        start, profile = start[~passed], profile[~passed]
+        if not len(start):
+            break
+    return hit
+
+
+def _first_passages(obs: DataFrame, keys: list[str], in_order: list[str], factor: float,
+                    limit: float, reach: int, hot: bool, hot_rows: int) -> DataFrame:
+    """``(scope, tick_no, hit)``: when a profile that starts in that tick would reset."""
+    own, group = F.lit(True), keys
+    if hot:
+        obs, own = blocks(obs, keys, in_order, before=0, after=reach - 1, hot_rows=hot_rows)
+        seen, group = F.col(_POS) > 1, [*keys, _BLOCK]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*in_order))
+    rows = obs.withColumn("_place", place)
+    if not hot:
+        seen = F.col("_place") > 1
+    rows = rows.select("scope", "tick_no", "_add", (F.col("_place") == 1).alias("first"),
+                       seen.alias("seen"), own.alias("own"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = False
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                last = True
+            else:
+                held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks() if held else None
+            if table is None or not last and len(table) <= reach:
+                continue
+            tick_no, add, first, seen_, own_ = (
+                table.column(c).to_numpy() for c in ("tick_no", "_add", "first", "seen", "own"))
+            # The last rows may pass the limit in the next batch.
+            ready = len(table) if last else len(table) - reach
+            hit = passages(add, first, seen_, factor, limit, reach)[:ready]
+            keep = np.flatnonzero(own_[:ready])
+            found = pa.array(np.where(hit >= 0, tick_no[hit], 0)[keep], mask=hit[keep] < 0)
+            yield pa.RecordBatch.from_arrays(
+                [table.column("scope").take(pa.array(keep)).combine_chunks(),
+                 pa.array(tick_no[keep]), found], names=["scope", "tick_no", "hit"])
+            held = table.slice(ready).to_batches()
+
+    kind = obs.schema["scope"].dataType.simpleString()
+    hits = rows.mapInArrow(search, f"scope {kind}, tick_no long, hit long")
+    return hits.groupBy("scope", "tick_no").agg(F.min("hit").alias("hit"))
+
+
+def _epochs_schema(obs: DataFrame) -> str:
+    kind = obs.schema["scope"].dataType.simpleString()
+    return f"scope {kind}, tick_no long, _epoch long, _is_reset boolean, _reset_at long"
+
+
+def _epochs_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Resets of one scope: the epoch of each tick, and the reset that ends it."""
+    pdf = pdf.sort_values("tick_no")
+    tick_no = pdf["tick_no"].to_numpy()
+    never = np.int64(1) << 60
+    hit = pdf["hit"].fillna(never).to_numpy().astype(np.int64)
+    soonest = np.minimum.accumulate(hit[::-1])[::-1]
+    start = np.array(chain_from(np.searchsorted(tick_no, soonest + 1), 0), dtype=np.int64)
+    resets = soonest[start]
+    resets = resets[resets < never]
+    epoch = np.searchsorted(resets, tick_no, side="left")
+    ends = np.append(resets.astype(float), np.nan)[epoch]
+    return pd.DataFrame({"scope": pdf["scope"].to_numpy(), "tick_no": tick_no, "_epoch": epoch,
+                         "_is_reset": ends == tick_no,
+                         "_reset_at": pd.array(ends, dtype="Float64").astype("Int64")})
+
+
+def _epochs(earliest: DataFrame, ticks: DataFrame, many_ticks: bool, hot_rows: int,
+            block_rows: int) -> DataFrame:
+    """The same for scopes with more ticks than one task takes."""
+    resets = _reset_ticks(earliest, hot_rows, True, block_rows)
     marked = (join_safe(ticks, resets.withColumn("_reset", F.lit(1).cast("long")),
                         ["scope", "tick_no"], "left")
               .withColumn("_reset", F.coalesce("_reset", F.lit(0).cast("long"))))
     epochs = cut(running(marked, ["scope"], ["tick_no"], {"_upto": F.col("_reset")},
                          hot=many_ticks, hot_rows=hot_rows)
-                 .select("scope", "tick_no", "_tick",
-                         (F.col("_upto") - F.col("_reset")).alias("_epoch"),
+                 .select("scope", "tick_no", (F.col("_upto") - F.col("_reset")).alias("_epoch"),
                          (F.col("_reset") == 1).alias("_is_reset")))
+    ends = epochs.filter("_is_reset").select("scope", "_epoch", F.col("tick_no").alias("_reset_at"))
+    return join_safe(epochs, ends, ["scope", "_epoch"], "left")
 
-    # Observations of a reset tick end as zero, so their profiles are not needed;
-    # of the others a machine has fewer than ``reach`` per epoch.
-    w = (Window.partitionBy(*keys, "_epoch").orderBy(*in_order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    profile = F.aggregate(F.collect_list("_add").over(w), F.lit(0.0),
-                          lambda acc, s: acc * factor + s)
-    calm = (join_safe(obs, epochs.drop("_tick"), ["scope", "tick_no"])
-            .filter(~F.col("_is_reset"))
-            .withColumn("_profile", profile)
-            .groupBy(*keys, "tick_no")
-            .agg(F.max_by("_profile", F.struct(*order)).alias("_profile")))
-    latest = obs.groupBy(*keys, "tick_no").agg(
-        F.max_by("score", F.struct(*order)).alias("score"))
-    known = join_safe(
-        join_safe(latest, calm, [*keys, "tick_no"], "left"),
-        epochs.select("scope", "tick_no", F.col("_epoch").alias("_from")), ["scope", "tick_no"])
-
-    spans = bounded_frame(known, keys, ["tick_no"], {
-        "_next": lambda w: F.first("tick_no").over(w.rowsBetween(1, 1))},
-        before=0, after=1, hot=many_ticks, hot_rows=hot_rows)
-    # Each value stands until the machine's next one, and is zero from the first
-    # reset on.
-    ends = ticks.groupBy("scope").agg(F.max("tick_no").alias("_end"))
-    spans = join_safe(spans, F.broadcast(ends) if one_scope else ends, ["scope"])
-    resets_of = epochs.filter("_is_reset").select(
-        "scope", F.col("_epoch").alias("_from"), F.col("tick_no").alias("_reset_at"))
-    spans = join_safe(spans, resets_of, ["scope", "_from"], "left")
+
+def _spans(obs: DataFrame, ticks: DataFrame, keys: list[str], in_order: list[str], factor: float,
+           hot: bool, hot_rows: int) -> DataFrame:
+    """``(scope, machine, lo, hi, anomaly_score, score)``: a value that stands from
+    tick ``lo`` to ``hi``."""
+    rows = bounded_frame(obs, keys, in_order, {
+        "_next": lambda w: F.lead("tick_no").over(w), "_before": lambda w: F.lag("_epoch").over(w)},
+        before=1, after=1, hot=hot, hot_rows=hot_rows)
+    goes_on = F.coalesce(F.col("_before") == F.col("_epoch"), F.lit(False))
+    rows = affine_scan(rows, keys, in_order, F.when(goes_on, factor).otherwise(0.0), F.col("_add"),
+                       "_profile", hot=hot, hot_rows=hot_rows)
+    # The last observation of a tick stands until the machine's next tick, and is zero
+    # from the reset on.
+    rows = rows.filter(F.col("_next").isNull() | (F.col("_next") > F.col("tick_no")))
+    rows = join_safe(rows, ticks.groupBy("scope").agg(F.max("tick_no").alias("_end")), ["scope"])
     until = F.coalesce(F.col("_next") - 1, F.col("_end"))
     zero_from = F.least(F.col("_reset_at"), until + 1)
     both = F.array(
         F.struct(F.col("tick_no").alias("lo"), (zero_from - 1).alias("hi"),
                  F.col("_profile").alias("anomaly_score")),
         F.struct(zero_from.alias("lo"), until.alias("hi"), F.lit(0.0).alias("anomaly_score")))
-    return (spans.select(*keys, "score", F.inline(both)).filter("lo <= hi")
+    return (rows.select(*keys, "score", F.inline(both)).filter("lo <= hi")
             .select(*keys, "lo", "hi", "anomaly_score", "score"))
 
 
