@@ -130,7 +130,7 @@ def phrases(docs: DataFrame, max_words: int = 3, least: int = 10) -> DataFrame:
     packed = (docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"),
                           F.coalesce("text", F.lit("")).cast("binary").alias("text"))
               .mapInArrow(_packer(max_words, buckets), "bucket int, lang string, lines binary"))
-    # From here to the ROLLUP all rows of a bucket stay where they are.
+    # From here until windows are padded all rows of a bucket stay where they are.
     part = F.split("line", " ")
     rows = (packed.repartition("bucket")
             .select("bucket", "lang", F.explode(F.split(F.col("lines").cast("string"), "\n")).alias("line"))
@@ -145,9 +145,11 @@ def phrases(docs: DataFrame, max_words: int = 3, least: int = 10) -> DataFrame:
             first = F.xxhash64("lang", *w[:k])
             rows = rows.withColumn("_h", first)
             total = F.sum("a").over(Window.partitionBy("_h", "bucket", "lang", *w[:k]))
+        # What is left at the end are few rows, once the buckets are one table again.
+        together = ["bucket", "lang"] if k > 2 else ["lang"]
         rows = (rows.withColumn("_all", total)
                 .withColumn(w[k - 1], F.when(F.col("_all") >= least, F.col(w[k - 1])).otherwise(""))
-                .groupBy("bucket", "lang", *w).agg(F.sum("a").alias("a")))
+                .groupBy(*together, *w).agg(F.sum("a").alias("a")))
     rolled = rows.rollup("lang", *w).agg(F.sum("a").alias("a"), F.grouping_id().alias("_level"))
     # Of a prefix of k words the last max_words - k columns are rolled up.
     size: Column = F.lit(None).cast("int")
