@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -116,13 +117,42 @@ def test_geo_longest_prefix(spark):
     df = spark.createDataFrame([(i,) for i in ips], "ip string")
     want = [("10.0.0.7", "null", "One"), ("10.1.2.3", "Ten", "Small"), ("10.2.2.2", "Ten", "Big"),
             ("11.0.0.0", "World", "null")]
-    for limit in (100, 1):
-        assert rows(lp.geo_lookup(df, geo, limit=limit), "ip", "country", "city") == want
+    assert rows(lp.geo_lookup(df, geo), "ip", "country", "city") == want
     narrow = geo.filter("prefix_len > 0")
     lost = lp.geo_lookup(df.filter("ip = '11.0.0.0'"), narrow).first()
     assert (lost["country"], lost["city"]) == ("null", "null")
 
 
+def test_geo_of_nested_networks(spark):
+    draw = random.Random(4)
+    nets = {}
+    for n, count in ((8, 6), (12, 12), (16, 40), (24, 80), (31, 60), (32, 120)):
+        for _ in range(count):
+            # Some octets only, so that networks lie in each other and touch.
+            at = sum(draw.choice((9, 10, 11, 255)) << s for s in (24, 16, 8, 0))
+            nets[n, at >> (32 - n)] = f"c{draw.randrange(5)}"
+    geo = spark.createDataFrame(
+        [(p << (32 - n), n, c, f"{n}-{p}") for (n, p), c in nets.items()] + [(None, 8, "x", "x")],
+        "net_start long, prefix_len int, country string, city string")
+    ranges = sorted((r["lo"], r["hi"], r["net"]["city"]) for r in lp.disjoint_ranges(geo).collect())
+    assert all(lo <= hi for lo, hi, _ in ranges)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    split = lp.disjoint_ranges(geo, hot_rows=30).collect()
+    assert sorted((r["lo"], r["hi"], r["net"]["city"]) for r in split) == ranges
+    asked = [draw.choice((9, 10, 11, 255)) << 24 | draw.choice((9, 10, 11, 255, 0)) << 16
+             | draw.choice((9, 10, 11, 255, 1)) << 8 | draw.choice((8, 9, 10, 11, 254, 255)) for _ in range(1500)]
+    want = []
+    for i, ip in enumerate(asked):
+        n = next((n for n in range(32, -1, -1) if (n, ip >> (32 - n)) in nets), None)
+        want.append((i, *((nets[n, ip >> (32 - n)], f"{n}-{ip >> (32 - n)}") if n is not None else ("null", "null"))))
+    df = spark.createDataFrame([(i, ".".join(str(ip >> s & 255) for s in (24, 16, 8, 0))) for i, ip in enumerate(asked)],
+                               "id long, ip string")
+    found = lp.geo_lookup(df, geo)
+    assert rows(found, "id", "country", "city") == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_geo_running_ends_in_totals(spark):
     df = spark.createDataFrame([(i, "c%d" % (i % 2), "t%d" % (i % 3)) for i in range(20)],
                                "seq long, country string, city string")

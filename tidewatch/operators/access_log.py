@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ip_number, log_bytes, log_minute, null_literal, valid_ipv4
-from tidewatch.operators.ordered import has_hot_key, running
-from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, is_small
+from tidewatch.operators.ordered import bounded_frame, has_hot_key, running
+from tidewatch.session import HOT_ROWS, cut
 
 # Fixed value: the accepted log line.
 LOG_LINE = (r'^(\S+) (\S+) (\S+) \[([\w:/]+\s[+\-]\d{4})\] '
             r'"(.+?)" (\d{3}) (\S+)(.*?)$')
 
+#: Addresses are looked up in blocks of so many low bits.
+BLOCK_BITS = 16
+
 TAGS = ("Volume", "Status", "Geo")
 
 
@@ -42,62 +45,58 @@ def valid_addresses(df: DataFrame, ip: str = "ip") -> DataFrame:
     return df.filter(valid_ipv4(F.col(ip)))
 
 
-def geo_lookup(df: DataFrame, geo: DataFrame, ip: str = "ip", *,
-               limit: int = BROADCAST_ROWS) -> DataFrame:
+def geo_lookup(df: DataFrame, geo: DataFrame, ip: str = "ip") -> DataFrame:
     """Add ``country`` and ``city`` of the longest network holding the address.
 
     Rows with an invalid address are dropped, addresses in no network keep the
-    text ``null``. Every network is ``prefix_len`` leading bits, so the lookup is
-    one equality per prefix length, not a range comparison.
+    text ``null``. Nested networks are first turned into disjoint ranges, and ranges into
+    their parts within blocks of addresses, so the lookup is one equality join on the
+    block. Whether it is broadcast is left to the measured bytes of the ranges' table.
     """
     rows = valid_addresses(df, ip).withColumn("_ip", ip_number(F.col(ip)))
-    # At most 33 values.
-    lengths = sorted((r[0] for r in geo.select("prefix_len").distinct().collect()),
-                     reverse=True)
-    if not lengths:
-        found = rows.withColumn("_net", F.lit(None).cast("struct<country:string,city:string>"))
-    elif is_small(geo, limit):
-        found = _geo_broadcast(rows, geo, lengths)
-    else:
-        found = _geo_shuffled(rows, geo, lengths)
+    parts = cut(range_parts(disjoint_ranges(geo)))
+    # Ranges are disjoint: at most one part holds the address.
+    found = rows.join(parts, (F.shiftright("_ip", BLOCK_BITS) == F.col("_block"))
+                      & F.col("_ip").between(F.col("_lo"), F.col("_hi")), "left")
     return (found.withColumn("country", null_literal(F.col("_net.country")))
             .withColumn("city", null_literal(F.col("_net.city")))
-            .drop("_ip", "_net"))
-
-
-def _networks(geo: DataFrame) -> DataFrame:
-    """One entry per network."""
-    return (geo.groupBy("prefix_len", "net_start")
-            .agg(F.max(F.struct("country", "city")).alias("_net")))
-
-
-def _geo_broadcast(rows: DataFrame, geo: DataFrame, lengths: list[int]) -> DataFrame:
-    """A hash probe per prefix length in the scan stage, no shuffle."""
-    nets = _networks(geo)
-    for n in lengths:
-        part = nets.filter(F.col("prefix_len") == n).select(
-            (F.col("net_start") / F.lit(1 << (32 - n))).cast("long").alias(f"_p{n}"),
-            F.col("_net").alias(f"_n{n}"))
-        rows = (rows.withColumn(f"_p{n}", F.shiftright("_ip", 32 - n))
-                .join(F.broadcast(part), f"_p{n}", "left"))
-    best = F.coalesce(*[F.col(f"_n{n}") for n in lengths])
-    return (rows.withColumn("_net", best)
-            .drop(*[f"_p{n}" for n in lengths], *[f"_n{n}" for n in lengths]))
-
-
-def _geo_shuffled(rows: DataFrame, geo: DataFrame, lengths: list[int]) -> DataFrame:
-    """Networks too large to broadcast: look up each distinct address once."""
-    nets = _networks(geo)
-    keys = F.array(*[F.struct(F.lit(n).alias("prefix_len"),
-                              F.shiftright("_ip", 32 - n).alias("prefix"))
-                     for n in lengths])
-    probes = (rows.select("_ip").distinct()
-              .select("_ip", F.inline(keys)))
-    nets = nets.select("prefix_len", "_net", F.expr(
-        "cast(net_start / shiftleft(1L, 32 - prefix_len) as long)").alias("prefix"))
-    found = (probes.join(nets, ["prefix_len", "prefix"])
-             .groupBy("_ip").agg(F.max_by("_net", "prefix_len").alias("_net")))
-    return rows.join(found, "_ip", "left")
+            .drop("_ip", "_block", "_lo", "_hi", "_net"))
+
+
+def disjoint_ranges(geo: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(lo, hi, net)``: the addresses whose longest network is ``net``, as ranges.
+
+    Between neighbouring starts and ends of networks the answer is the same, so it is
+    asked once per such point, by one equality per prefix length. Of equal networks the
+    one with the greatest names counts.
+    """
+    nets = (geo.filter(F.col("net_start").isNotNull() & F.col("prefix_len").between(0, 32))
+            .groupBy(F.col("prefix_len").cast("int").alias("prefix_len"),
+                     F.expr("shiftright(cast(net_start as bigint), 32 - prefix_len)").alias("prefix"))
+            .agg(F.max(F.struct("country", "city")).alias("net")))
+    first = F.expr("shiftleft(prefix, 32 - prefix_len)")
+    after = F.expr("shiftleft(prefix + 1, 32 - prefix_len)")
+    points = (nets.select(F.explode(F.array(first, after)).alias("lo")).distinct()
+              .filter(F.col("lo") < 1 << 32))
+    # At most 33 values.
+    lengths = [r[0] for r in nets.select("prefix_len").distinct().collect()]
+    asked = F.array(*[F.struct(F.lit(n).alias("prefix_len"), F.shiftright("lo", 32 - n).alias("prefix"))
+                      for n in lengths] or [F.struct(F.lit(None).cast("int").alias("prefix_len"),
+                                                     F.lit(None).cast("long").alias("prefix"))])
+    owners = (points.select("lo", F.inline(asked)).join(nets, ["prefix_len", "prefix"])
+              .groupBy("lo").agg(F.max_by("net", "prefix_len").alias("net")))
+    ends = bounded_frame(points, [], ["lo"], {"_next": lambda w: F.lead("lo").over(w)}, before=0,
+                         after=1, hot_rows=hot_rows)
+    return owners.join(ends, "lo").select(
+        "lo", (F.coalesce("_next", F.lit(1 << 32)) - 1).alias("hi"), "net")
+
+
+def range_parts(ranges: DataFrame) -> DataFrame:
+    """Ranges cut at block edges: ``(_block, _lo, _hi, _net)``. As they are disjoint, there
+    are at most as many parts as ranges and blocks together."""
+    block = F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright("hi", BLOCK_BITS)))
+    return ranges.select(block.alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+                         F.col("net").alias("_net"))
 
 
 def running_volume(df: DataFrame, order: list[str], **kw) -> DataFrame:

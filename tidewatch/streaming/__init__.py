@@ -9,6 +9,15 @@ from tidewatch.streaming.jobs import (
     SampleJob,
     TrendingJob,
 )
+from tidewatch.streaming.keyed import (
+    TickRankingJob,
+    stream_decisions,
+    stream_every_nth,
+    stream_partial_top,
+    stream_rate_sample,
+    stream_volume,
+    use_keyed_state,
+)
 from tidewatch.streaming.run import (
     publish_decisions,
     run_available_now,
@@ -25,7 +34,8 @@ from tidewatch.streaming.windows import (
 
 __all__ = [
     "AccessLogJob", "BanditJob", "CarriedTable", "EveryNthJob", "OutlierJob", "SampleJob",
-    "TrendingJob", "closed_ticks", "publish_decisions", "run_available_now", "stream_counts",
-    "stream_observation_score", "stream_rolling_counts", "with_event_time",
-    "with_time_policy", "write_stream",
+    "TickRankingJob", "TrendingJob", "closed_ticks", "publish_decisions", "run_available_now",
+    "stream_counts", "stream_decisions", "stream_every_nth", "stream_observation_score",
+    "stream_partial_top", "stream_rate_sample", "stream_rolling_counts", "stream_volume",
+    "use_keyed_state", "with_event_time", "with_time_policy", "write_stream",
 ]
