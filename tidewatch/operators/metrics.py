@@ -15,7 +15,8 @@ from tidewatch.functions import (
 )
 from tidewatch.operators.chain import BLOCK_ROWS, follow_chain
 from tidewatch.operators.ordered import has_hot_key, row_index, running
-from tidewatch.session import HOT_ROWS, join_safe
+from tidewatch.operators.selection import FEW, select_ranks
+from tidewatch.session import HOT_ROWS, cut, join_safe
 
 # Reported percentiles.
 PERCENTILES = (0, 5, 25, 50, 75, 95, 100)
@@ -42,15 +43,18 @@ def distribution(df: DataFrame, value: str, by: list[str] | None = None, *,
 
     Null values are no samples; a group with nothing else has 0 samples and null
     statistics. Equal values are counted first; the ranks are running sums of these counts.
+    Of groups too large for a task the ranks are selected by histograms instead.
     """
     by = by or []
     if hot is None:
         hot = has_hot_key(df, by, hot_rows)
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    ranked = running(counts, by, ["_v"], {"_cum": F.col("_c")}, hot=hot, hot_rows=hot_rows)
     totals = (df.groupBy(*by).agg(F.count(value).alias("samples"),
                                   F.avg(value).alias("mean")))
+    if hot:
+        return _distribution_of_large(df, value, by, totals, few=min(hot_rows, FEW))
+    counts = (df.filter(F.col(value).isNotNull())
+              .groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    ranked = running(counts, by, ["_v"], {"_cum": F.col("_c")}, hot=False)
     if by:
         ranked = join_safe(ranked, totals, by)
         n = F.col("samples")
@@ -69,6 +73,22 @@ def distribution(df: DataFrame, value: str, by: list[str] | None = None, *,
                       *[F.coalesce(f"p{p}", zero).alias(f"p{p}") for p in PERCENTILES])
 
 
+def _distribution_of_large(df: DataFrame, value: str, by: list[str], totals: DataFrame,
+                           few: int) -> DataFrame:
+    totals = cut(totals)
+    rank = F.floor((F.col("samples") - 1) * F.col("_want") / F.lit(100.0))
+    wanted = (totals.select(*by, "samples", F.explode(F.array(*map(F.lit, PERCENTILES))).alias("_want"))
+              .select(*by, "_want", rank.alias("_rank")))
+    found = select_ranks(df, by, value, wanted, few=few)
+    picks = [F.min(F.when(F.col("_want") == p, F.col(value))).alias(f"p{p}") for p in PERCENTILES]
+    if by:
+        return join_safe(totals, found.groupBy(*by).agg(*picks), by, "left")
+    zero = F.lit(0)
+    return totals.crossJoin(F.broadcast(found.agg(*picks))).select(
+        "samples", F.coalesce("mean", zero.cast("double")).alias("mean"),
+        *[F.coalesce(f"p{p}", zero).alias(f"p{p}") for p in PERCENTILES])
+
+
 def distribution_by_tag(df: DataFrame, value: str, tag: str, **kw) -> DataFrame:
     """Statistics per tag and over all rows (tag ``overall``)."""
     each = distribution(df, value, [tag], **kw)

@@ -25,6 +25,7 @@ from tidewatch.operators.ordered import (
     running,
     top_per_group,
 )
+from tidewatch.operators.selection import FEW, select_ranks
 from tidewatch.session import HOT_ROWS, cut, join_safe, lookup_side
 
 # Decay per observation, and the share of the largest possible
@@ -386,14 +387,17 @@ def _tick_marks(df: DataFrame, row_key: list[str], tick: str, hot_rows: int) ->
 
 def _crowded_tick_marks(df: DataFrame, row_key: list[str], tick: str,
                         hot_rows: int) -> DataFrame:
-    """The same for ticks of any size, from aggregates and the distributed order."""
+    """The same for ticks of any size: the middle score is selected by histograms, and only
+    the streams that share it are put in order."""
     df = cut(df)
     first = F.struct("score", *row_key, "anomaly_score")
-    ticks = df.groupBy(tick).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_min"))
-    placed = row_index(df.select(tick, *row_key, "score", "anomaly_score"), [tick],
-                       ["score", *row_key], "_pos", hot=True, hot_rows=hot_rows)
+    ticks = cut(df.groupBy(tick).agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_min")))
+    wanted = ticks.select(tick, F.lit(0).alias("_want"), F.floor(F.col("_n") / 2).alias("_rank"))
+    found = cut(select_ranks(df, [tick], "score", wanted, few=min(hot_rows, FEW)).drop("_want"))
+    equal = df.select(tick, *row_key, "score", "anomaly_score").join(found, [tick, "score"])
+    placed = row_index(equal, [tick], row_key, "_pos", hot_rows=hot_rows)
     middle = (placed.join(ticks.select(tick, "_n"), tick)
-              .filter(F.col("_pos") - 1 == F.floor(F.col("_n") / 2))
+              .filter(F.col("_below") + F.col("_pos") - 1 == F.floor(F.col("_n") / 2))
               .select(tick, F.col("anomaly_score").alias("_median")))
     marks = ticks.join(middle, tick).select(
         tick, "_median", F.col("_min.anomaly_score").alias("_low"),

@@ -3,10 +3,12 @@
 from tidewatch.sources.readers import (
     access_log_lines,
     machine_usage,
+    metric_fields,
     read_access_log,
     read_geo,
     read_lexicon,
     read_machine_usage,
+    read_metric_documents,
     read_metrics,
     read_posts,
     replay,
@@ -14,7 +16,7 @@ from tidewatch.sources.readers import (
 from tidewatch.sources.writers import pivot_csv, write_metrics, write_results
 
 __all__ = [
-    "access_log_lines", "machine_usage", "pivot_csv", "read_access_log", "read_geo",
-    "read_lexicon", "read_machine_usage", "read_metrics", "read_posts", "replay",
+    "access_log_lines", "machine_usage", "metric_fields", "pivot_csv", "read_access_log", "read_geo",
+    "read_lexicon", "read_machine_usage", "read_metric_documents", "read_metrics", "read_posts", "replay",
     "write_metrics", "write_results",
 ]

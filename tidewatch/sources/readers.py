@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import schemas
 from tidewatch.functions import from_micros, split_nonempty, to_micros
@@ -93,6 +94,23 @@ def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
             .option("pathGlobFilter", "*.json").json(folder))
 
 
+def read_metric_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Metric documents of any fields as one ``doc`` column, a row per file; files that
+    hold no JSON are left out."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    return files.select(F.try_parse_json("value").alias("doc")).filter(F.col("doc").isNotNull())
+
+
+def metric_fields(documents: DataFrame, fields: T.StructType = schemas.METRIC) -> DataFrame:
+    """Columns of ``fields`` out of ``doc``. What a document lacks, or has in another type,
+    is null, so runs of different programs share a table."""
+    def path(name: str) -> str:
+        return "$['" + name.replace("'", "\\'") + "']"
+
+    return documents.select(*[
+        F.try_variant_get("doc", path(f.name), f.dataType.simpleString()).alias(f.name) for f in fields])
+
+
 def replay(df: DataFrame, ts: str, order: list[str], n: int) -> DataFrame:
     """The table ``n`` times; each round is shifted by the time of its last row.
 

@@ -18,6 +18,7 @@ from tidewatch.streaming.keyed import (
     stream_volume,
     use_keyed_state,
 )
+from tidewatch.streaming.measured import MetricListener, observed
 from tidewatch.streaming.run import (
     publish_decisions,
     run_available_now,
@@ -33,7 +34,8 @@ from tidewatch.streaming.windows import (
 )
 
 __all__ = [
-    "AccessLogJob", "BanditJob", "CarriedTable", "EveryNthJob", "OutlierJob", "SampleJob",
+    "AccessLogJob", "BanditJob", "CarriedTable", "EveryNthJob", "MetricListener", "OutlierJob",
+    "SampleJob", "observed",
     "TickRankingJob", "TrendingJob", "closed_ticks", "publish_decisions", "run_available_now",
     "stream_counts", "stream_decisions", "stream_every_nth", "stream_observation_score",
     "stream_partial_top", "stream_rate_sample", "stream_rolling_counts", "stream_volume",
