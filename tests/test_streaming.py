@@ -169,3 +169,30 @@ def test_time_policy(spark):
     assert st.with_time_policy(df, "ingress").filter("ts > '2024-01-02'").count() == 1
     with pytest.raises(ValueError):
         st.with_time_policy(df, "other")
+
+
+def test_rewards_are_read_by_block(spark, tmp_path):
+    from tidewatch.streaming.jobs import RewardBlocks
+
+    store = RewardBlocks(spark, str(tmp_path / "r"), rows=10)
+    sizes = []
+    for b in range(6):
+        new = spark.range(20 * b, 20 * b + 20).select(
+            F.lit(0).alias("shard"), F.lit("x").alias("action"), F.col("id").alias("_at"), (F.col("id") * 2).alias("_reward"))
+        drawn = spark.createDataFrame([(0, "x", 3), (0, "x", 18), (0, "x", None), (0, "x", 20 * b + 5)],
+                                      "shard int, action string, _at long")
+        for _ in range(2):  # a batch may run again
+            found = store.read(b, drawn)
+            assert {r["_at"] for r in found.collect()} == (set(range(20)) if b else set())
+            sizes.append(len(found.inputFiles()))
+            store.write(new.coalesce(1), b)
+    assert max(sizes[2:]) <= 4
+    assert store.read(6, drawn.withColumn("_at", F.lit(57))).agg(F.sum("_reward")).first()[0] == sum(2 * i for i in range(50, 60))
+
+
+def test_unlisted_actions_are_an_error(spark, folder, tmp_path):
+    e = inputs.table(spark, folder, "events")
+    e.unionByName(e.limit(1).withColumn("event_type", F.lit("refund"))).write.parquet(str(tmp_path / "events.parquet"))
+    with pytest.raises(Exception, match="action not listed: refund"):
+        inputs.bandit_rewards(spark, str(tmp_path)).collect()
+    assert inputs.bandit_rewards(spark, folder).count() == e.filter("event_type <> 'view'").count()

@@ -8,6 +8,7 @@ running counts per shard, not a loop. Draws are hashes of the event id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,12 +118,13 @@ class Earlier:
     ``totals(shard, _round, _began, n0, s0, ..)``: events and rewards so far, and
     the round since which the interval estimator is past sampling;
     ``histogram(shard, act, bin, count, sum)``; ``rewards(shard, action, _at,
-    _reward)``: past rewards with their number.
+    _reward)``: past rewards with their number, or a function that gives those among
+    them that ``drawn(shard, action, _at)`` may ask for.
     """
 
     totals: DataFrame
     histogram: DataFrame
-    rewards: DataFrame
+    rewards: DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def _sums(actions: list[str]) -> dict[str, Column]:
@@ -221,8 +223,6 @@ def sampler(inputs: DataFrame, actions: list[str], *, min_samples: int = SAMPLER
     """
     past = cut(_history(inputs, actions, hot_rows, earlier, hot))
     ordinals = _ordinals(past, actions)
-    if earlier is not None:
-        ordinals = ordinals.unionByName(earlier.rewards)
     asked = past.filter(F.col("tag") == EVENT)
     options = F.array(*[
         F.struct(F.lit(a).alias("action"), F.col(f"n{i}").alias("n"),
@@ -231,6 +231,9 @@ def sampler(inputs: DataFrame, actions: list[str], *, min_samples: int = SAMPLER
     drawn = (asked.select("id", "shard", "ts", "round", F.inline(options))
              .withColumn("_at", F.when(F.col("n") > min_samples,
                                        F.floor(F.col("u") * F.col("n")))))
+    if earlier is not None:
+        told = earlier.rewards
+        ordinals = ordinals.unionByName(told(drawn) if callable(told) else told)
     looked = drawn.join(ordinals, ["shard", "action", "_at"], "left")
     value = F.col("_reward")
     if optimistic:

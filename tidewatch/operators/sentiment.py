@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import clean_text, sentiment_label
-from tidewatch.session import BROADCAST_ROWS, is_small, lookup_side
+from tidewatch.session import BROADCAST_BYTES, is_small, lookup_side
 
 #: Words a lexicon may have to be looked up within the row.
 IN_ROW_WORDS = 20_000
@@ -30,7 +30,7 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def word_scores(tokens: DataFrame, lexicon: DataFrame, *,
-                limit: int = BROADCAST_ROWS) -> DataFrame:
+                limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``score`` to every word; words outside the lexicon score 0."""
     scored = tokens.join(lookup_side(lexicon, limit), "word", "left")
     return scored.withColumn("score", F.coalesce("score", F.lit(0)))
@@ -57,7 +57,7 @@ def _scored(df: DataFrame, text: str, lexicon: DataFrame, limit: int, in_row: in
 
 
 def document_score(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
-                   limit: int = BROADCAST_ROWS, in_row: int = IN_ROW_WORDS) -> DataFrame:
+                   limit: int = BROADCAST_BYTES, in_row: int = IN_ROW_WORDS) -> DataFrame:
     """``(key, score)`` for every row of ``df``, 0 for a text without lexicon words."""
     return _scored(df.select(key, text), text, lexicon, limit, in_row).select(key, "score")
 
@@ -86,7 +86,7 @@ def score_in_row(text: str, lexicon: DataFrame) -> Column:
 
 
 def classify(df: DataFrame, key: str, text: str, lexicon: DataFrame, *,
-             limit: int = BROADCAST_ROWS, in_row: int = IN_ROW_WORDS) -> DataFrame:
+             limit: int = BROADCAST_BYTES, in_row: int = IN_ROW_WORDS) -> DataFrame:
     """Replace the text by its cleaned form and add ``score`` and ``sentiment``.
 
     Rows are scored one by one; ``key`` may be null or repeated.

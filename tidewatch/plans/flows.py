@@ -70,8 +70,8 @@ def outlier_alerts(usage: DataFrame, machine: str, tick: str, seq: str, *,
         profiles = close(outlier.decayed_score(scored, machine, tick, [seq],
                                                hot_rows=hot_rows))
         row_key = [machine]
-        # A tick emits each machine at most once.
-        crowded = usage.select(machine).distinct().count() > hot_rows
+        # A tick emits each machine at most once, and machines are no more than rows.
+        crowded = hot_or_unknown(usage, hot_rows)
     if alert == "top-k":
         return close(outlier.flag_topk(profiles, row_key, tick, "anomaly_score", k,
                                        hot=crowded, hot_rows=hot_rows))

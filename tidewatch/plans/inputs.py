@@ -104,8 +104,12 @@ def bandit_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bandit_rewards(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").filter(F.col("event_type").isin(ACTIONS))
-    return e.select(F.col("event_type").alias("id"),
+    """Rewards of all events but the asking ones; an action that is not listed is an
+    error, as no learner would see it."""
+    e = table(spark, folder, "events").filter("event_type <> 'view'")
+    unlisted = F.raise_error(F.concat(F.lit("action not listed: "), F.col("event_type")))
+    action = F.when(F.col("event_type").isin(ACTIONS), F.col("event_type")).otherwise(unlisted)
+    return e.select(action.alias("id"),
                     F.floor("value").cast("long").alias("value"),
                     F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
 

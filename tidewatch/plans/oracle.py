@@ -371,7 +371,7 @@ SELECT event_id, shard, latency_us FROM kept""",
   WHERE CASE WHEN b = 0 THEN sizes = [0, 0] ELSE list_contains(sizes, b) END""",
     "metric_series_parallelism": f"""WITH {_RUNS} SELECT 'p = ' || p AS label,
   CASE day % 3 WHEN 0 THEN 0 WHEN 1 THEN 16 ELSE 64 END AS x, round(mean, 6) AS y
-  FROM runs, (VALUES (1), (2), (3), (40)) t(p) WHERE day = p""",
+  FROM (SELECT *, CAST(day AS INTEGER) AS p FROM runs)""",
     "metric_series_chaining": f"""WITH {_RUNS} SELECT 'Chaining: ' || CASE WHEN day % 4 <> 0
   THEN 'enabled' ELSE 'disabled' END AS label, CAST(day AS INTEGER) AS x, round(mean, 6) AS y
   FROM runs""",
@@ -403,8 +403,8 @@ FROM (SELECT DISTINCT kind FROM e) k LEFT JOIN d ON k.kind IS NOT DISTINCT FROM
 v AS ({_VOLUME}), s AS ({_STATUS}), g AS ({_GEO}),
 b AS (SELECT 'Volume' AS tag, event_id FROM v UNION ALL SELECT 'Status', event_id FROM s
   UNION ALL SELECT 'Geo', event_id FROM g),
-t AS (SELECT tag, event_id % 997 AS value FROM b
-  UNION ALL SELECT 'overall', event_id % 997 FROM b)
+l AS (SELECT tag, CAST(round(e.value * 1e6) AS BIGINT) AS value FROM b JOIN events e USING (event_id)),
+t AS (SELECT tag, value FROM l UNION ALL SELECT 'overall', value FROM l)
 {_dist('tag', 't')}""",
     "metric_axis": f"""WITH {_RUNS} SELECT name, CAST(day AS INTEGER) AS day,
   round(mean * 1000000000, 6) AS per_second,

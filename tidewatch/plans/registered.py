@@ -227,9 +227,9 @@ def mo_anomaly_decayed_by_shard(spark, d):
 
 @query
 def mo_alert_threshold(spark, d):
-    usage = inputs.machine_usage(spark, d)
     profiles = mo.decayed_score(_scored(spark, d), "machine_id", "tick", ["event_id"])
-    crowded = usage.select("machine_id").distinct().count() > mo.HOT_ROWS
+    # A tick has at most as many rows as there are machines, and they as many as events.
+    crowded = hot_or_unknown(inputs.table(spark, d, "events"))
     return mo.threshold_alerts(profiles.drop("scope"), ["machine_id"], "tick", hot=crowded)
 
 
@@ -431,7 +431,9 @@ def metric_series(spark, d):
 
 @query
 def metric_series_parallelism(spark, d):
-    return _series(spark, d, "parallelism", [1, 2, 3, 40], "batch_size")
+    # All values that occur, at most one per day of a month, and one without runs.
+    found = inputs.runs(spark, d).select(F.col("parallelism")[0]).distinct().collect()
+    return _series(spark, d, "parallelism", [*sorted(r[0] for r in found), 99], "batch_size")
 
 
 @query
@@ -495,8 +497,9 @@ def latency_by_branch(spark, d):
     """Statistics of a latency by branch of the log analysis, and over all branches."""
     branches = flows.log_branches(_log(spark, d), inputs.geo(spark, d), ["event_id"],
                                   hot=_hot(spark, d))
-    rows = branches.select("tag", (F.col("event_id") % 997).alias("latency"))
-    return mx.distribution_by_tag(rows, "latency", "tag")
+    lags = mx.latency(_arrivals(spark, d), "ts", "arrival").select("event_id", "latency_us")
+    rows = branches.select("tag", "event_id").join(lags, "event_id")
+    return mx.distribution_by_tag(rows, "latency_us", "tag")
 
 
 @query

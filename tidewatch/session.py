@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Rows one window group may hold before its work is split over many tasks.
 HOT_ROWS = 4_000_000
 
-#: Rows a lookup table may hold to be broadcast (about 100 MB of short rows).
-BROADCAST_ROWS = 1_000_000
+#: Bytes a lookup table may have as a file to be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 #: Folders of the tables written by ``cut`` and not yet removed.
 _written: list[str] = []
@@ -23,12 +23,15 @@ _written: list[str] = []
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, the
-    session gets a folder in its warehouse, which all executors can reach too.
+    The cluster names it in ``spark.checkpoint.dir``. A local session, whose driver and
+    tasks are one process, may leave it unset and gets a folder in its warehouse; on a
+    cluster that could be a folder of one machine, so there it is an error.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -98,14 +101,17 @@ def join_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return joined.select("_tw_l.*", *[F.col(f"_tw_r.{c}") for c in right.columns if c not in keys])
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, limit: int) -> bool:
     """True if ``df`` has at most ``limit`` rows; the count reads no columns."""
     return df.count() <= limit
 
 
-def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Lookup table for a join: broadcast when its size allows, else as is."""
-    return F.broadcast(df) if is_small(df, limit) else df
+def lookup_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Lookup table for a join: computed once into a table, whose measured bytes say
+    whether it is broadcast."""
+    table = cut(df)
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(table) if size <= limit else table
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -196,6 +196,42 @@ class EveryNthJob:
         batch.unpersist()
 
 
+class RewardBlocks:
+    """Rewards of all batches by number, a folder for each block of numbers.
+
+    A batch only adds to the newest blocks, and reads the blocks that its draws name, so
+    neither grows with the history. A batch that runs again replaces what it has written.
+    """
+
+    schema = "shard int, action string, _at long, _reward long, block long, batch long"
+
+    def __init__(self, spark: SparkSession, path: str, rows: int = 4096):
+        self.spark, self.path, self.rows = spark, path.rstrip("/"), rows
+
+    def _block(self):
+        return F.floor(F.col("_at") / F.lit(self.rows)).cast("long")
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        (df.withColumns({"block": self._block(), "batch": F.lit(batch_id).cast("long")})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("block", "batch").parquet(self.path))
+
+    def read(self, batch_id: int, drawn: DataFrame) -> DataFrame:
+        """Rewards of earlier batches in the blocks of ``drawn``, at most one per draw."""
+        wanted = drawn.filter(F.col("_at").isNotNull()).select(self._block()).distinct().collect()
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folders = []
+        for (block,) in wanted:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/block={block}")
+            if path.getFileSystem(conf).exists(path):
+                folders.append(f"{self.path}/block={block}")
+        if not folders:
+            return self.spark.createDataFrame([], self.schema).drop("block", "batch")
+        rows = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*folders)
+        return rows.filter(F.col("batch") < batch_id).drop("block", "batch")
+
+
 class BanditJob:
     """Decisions of a learner for the events of each micro-batch.
 
@@ -213,12 +249,12 @@ class BanditJob:
                                    f"shard int, _round long, _began long, {sums}")
         self.hist = CarriedTable(spark, f"{state}/hist",
                                  "shard int, act int, bin long, count long, sum long")
-        self.spark = spark
+        self.rewards = RewardBlocks(spark, f"{state}/rewards")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         earlier = bandit.Earlier(self.totals.read(batch_id), self.hist.read(batch_id),
-                                 self._rewards(batch_id))
+                                 lambda drawn: self.rewards.read(batch_id, drawn))
         options = dict(self.options)
         if self.learner == "interval_estimator":
             options["width"] = self.width
@@ -232,16 +268,9 @@ class BanditJob:
         self.totals.write(later.totals, batch_id)
         self.hist.write(later.histogram, batch_id)
         if self._keeps_rewards():
-            append_batch(later.rewards, f"{self.state}/rewards", batch_id)
+            self.rewards.write(later.rewards, batch_id)
         out.unpersist()
         batch.unpersist()
 
     def _keeps_rewards(self) -> bool:
         return "sampler" in self.learner
-
-    def _rewards(self, batch_id: int) -> DataFrame:
-        schema = "shard int, action string, _at long, _reward long, batch long"
-        if batch_id == 0 or not self._keeps_rewards():
-            return self.spark.createDataFrame([], schema).drop("batch")
-        rows = self.spark.read.schema(schema).parquet(f"{self.state}/rewards")
-        return rows.filter(F.col("batch") < batch_id).drop("batch")
