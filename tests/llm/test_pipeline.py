@@ -99,3 +99,24 @@ def test_near_duplicates_of_documents(spark, folder, docs):
                 parent[two] = one
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
     assert got == {i for i in parent if root(i) == i}
+
+
+def test_stages_on_odd_rows(spark, folder, edge, crowded, nothing):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
+    from collections import Counter as Bag
+
+    plain = edge.withColumn("n_chars", F.col("n_chars").cast("int"))
+    wide = crowded.withColumn("n_chars", F.col("n_chars").cast("int"))
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        got = stage(spark, plain, folder)
+        assert stage(spark, nothing, folder).count() == 0
+        more = stage(spark, wide, folder)
+        if last:
+            columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        else:
+            assert got.columns == plain.columns and more.columns == wide.columns
+            columns = ["doc_id", "text", "source"]
+            rows = Bag(r["doc_id"] for r in got.collect())
+            assert set(rows) <= {r["doc_id"] for r in plain.collect()}
+        assert Bag(map(tuple, more.select(*columns).collect())) == Bag(map(tuple, got.select(*columns).collect()))

@@ -65,3 +65,49 @@ def test_isotonic():
         np.array([0.1, 0.2, 0.3, 0.4]), np.array([1.0, 1.0, 1.0, 1.0]),
         np.array([0.0, 1.0, 0.0, 1.0]))
     assert list(levels) == sorted(levels) and knots[0] == 0.1 and levels[-1] == 1
+
+
+def test_scores_against_a_plain_fit(spark):
+    """Features, ridge and rising map written out over all rows at once."""
+    import numpy as np
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()
+              if r["quality"] in (0, 1)}
+    f = {r["doc_id"]: quality_model.statistics(r["text"]) for r in docs}
+    fold = {i: zlib.crc32(str(i).encode()) % 3 for i in f}
+    seen = [i for i in f if i in labels and fold[i] != 1]
+    x = np.array([f[i] for i in seen], dtype=float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    rng = np.random.default_rng(11)
+    directions, phases = rng.normal(0, 0.35, (x.shape[1], 256)), rng.uniform(0, 2 * np.pi, 256)
+
+    def features(ids):
+        z = np.clip((np.array([f[i] for i in ids], dtype=float) - mean) / scale, -8, 8)
+        return np.hstack([np.sqrt(2 / 256) * np.cos(z @ directions + phases), np.ones((len(ids), 1))])
+
+    train = [i for i in seen if fold[i] == 0]
+    z, y = features(train), np.array([labels[i] for i in train], dtype=float)
+    penalty = np.full(257, 1e-3 * len(train) / 256)
+    penalty[-1] = 1e-9
+    weights = np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ y)
+    check = [i for i in seen if fold[i] == 2]
+    raw = features(check) @ weights
+    of = {}
+    for i, r in zip(check, raw):
+        of.setdefault(int(np.floor(min(max(r, -0.5), 1.5) * 2000)), []).append(labels[i])
+    bins = sorted(of)
+    n, hits = np.array([len(of[b]) for b in bins]), np.array([sum(of[b]) for b in bins])
+    n_, h_ = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], hits.cumsum()])
+    # The rising fit by its definition: the largest over starts of the smallest mean over ends.
+    level = [max(min((h_[k] - h_[j]) / (n_[k] - n_[j]) for k in range(i + 1, len(n_))) for j in range(i + 1))
+             for i in range(len(bins))]
+    every = sorted(f)
+    want = np.clip(np.interp(features(every) @ weights, [(b + 0.5) / 2000 for b in bins], level), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in op4_quality_model(spark, folder).collect()}
+    assert len(got) == len(every)
+    off = np.abs(np.array([got[i] for i in every]) - want)
+    # A raw score at the edge of a bin may fall on its other side by rounding.
+    assert (off < 1e-6).mean() > 0.99 and off.max() < 0.05

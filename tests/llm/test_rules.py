@@ -109,3 +109,30 @@ def test_whole_licences_as_they_are_in_use(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r[0]: r[3] for r in license_scan.scan(docs, license_scan.known(spark)).collect()}
     assert got == {i: n for i, (n, _) in enumerate(texts)}
+
+
+def plain_shard(key, weights):
+    """The largest bid by hand: draws are xxhash64 of key and shard number, chained."""
+    import math
+    import struct
+
+    import xxhash
+
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    bids = []
+    for i, w in enumerate(weights):
+        draw = ((xxhash.xxh64_intdigest(struct.pack("<i", i), seed=seed) >> 11) + 0.5) / 2 ** 53
+        bids.append((-w / math.log(draw), -i))
+    return -max(bids)[1]
+
+
+def test_shards_against_plain_bids(spark, folder, docs, edge):
+    from tidewatch.llm.registered import op8_rendezvous_shards
+
+    got = op8_rendezvous_shards(spark, folder).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r["shard"] == plain_shard(r["doc_id"], [1.0] * 8)
+        assert r["grown_shard"] == plain_shard(r["doc_id"], [1.0] * 9)
+    for r in sharding.shard(edge, [2.0, 1.0, 0.5]).collect():
+        assert r["shard"] == plain_shard(r["doc_id"], [2.0, 1.0, 0.5])
