@@ -5,6 +5,14 @@ duplicates stays, repeated strings are cut out of what is left, sources are mixe
 their targets (a document comes as often as its number of copies), and all of it is
 packed into sequences. Each stage works on what the one before it kept; all but the
 last return the columns of ``documents``.
+
+In every stage a null text counts as empty, rows with a null or repeated id are rows of
+their own, null sources form a source, columns of any other name pass through, and an
+empty table gives an empty result. Empty texts are scored like others, are never near
+duplicates, lose nothing to the removal of repeats, are taken by the mix as often as the
+whole part of their source's rate, and are packed as their end mark. Of near duplicates
+the smallest id stays; rows with one id are one document there, so that they stay or go
+together. Ties elsewhere are broken by hashes of id and size, so reruns agree.
 """
 
 from __future__ import annotations
