@@ -83,6 +83,28 @@ def test_groups_at_the_limit(spark):
     assert run(spark, docs) == plain(docs)
     # The same where buckets are far larger than what one task compares.
     assert run(spark, docs, bucket_rows=4) == plain(docs)
+    # And where few of the sets fit into one task.
+    assert run(spark, docs, bucket_shingles=1000) == plain(docs)
+
+
+def test_long_sets_share_no_task(spark):
+    """Tasks are bounded by what the sets hold, and open members still meet all others."""
+    size = {i: 5000 if i % 4 == 0 else 100 for i in range(200)}
+    component = {i: 0 if i < 120 else i for i in size}
+    active = spark.createDataFrame([(7, i, component[i], 200) for i in size],
+                                   "key long, id long, component long, n long")
+    sets = spark.createDataFrame(list(size.items()), "id long, n long")
+    tasks = defaultdict(set)
+    for r in near_dups.deal(active, sets, 512, 20_000).collect():
+        assert r["component"] == component[r["id"]]
+        tasks[r["block"], r["way"]].add((r["id"], r["is_open"]))
+    met = set()
+    for rows in tasks.values():
+        assert sum(size[i] for i in {i for i, _ in rows}) <= 4 * 20_000
+        met |= {(a, b) for a, opened in rows if opened for b, _ in rows}
+    assert all((a, b) in met for a in range(120, 200) for b in size)
+    one = near_dups.deal(active, sets, 512, 1 << 20)
+    assert one.select("block", "way").distinct().count() == 1 and one.count() == 200
 
 
 def test_sketches_estimate_similarity():

@@ -54,6 +54,18 @@ def test_many_cells(spark, monkeypatch):
     want = plain(vectors, {i for i in range(0, 1500, 20)}, 5)
     assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
     assert recall(got, want) >= 0.9
+    # Blocks of queries find what one block finds.
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 1000)
+    assert run(spark, vectors, k=5) == got
+
+
+def test_repeated_ids(spark):
+    """Rows with one id are candidates each, and share one list as queries."""
+    vectors = [(20, [1.0, 0.0]), (20, [3.0, 0.0]), (1, [2.0, 0.0]), (1, [4.0, 1.0]),
+               (2, [0.5, 0.5])]
+    df = spark.createDataFrame(vectors, SCHEMA)
+    got = rows_of(neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=3))
+    assert sorted(got) == [(20, 1, 1, 12.0), (20, 2, 1, 6.0), (20, 3, 1, 4.0)]
 
 
 def test_odd_vectors(spark):

@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
@@ -35,8 +35,10 @@ SIMILARITY = 85
 #: Bands and places in each: a pair at the limit is missed with probability 4e-7.
 BANDS, ROWS = 25, 5
 
-#: Members of a bucket that one task compares with each other.
+#: Members of a bucket that one task compares with each other, and the shingles that
+#: their sets hold together, on average.
 BUCKET_ROWS = 512
+BUCKET_SHINGLES = 1 << 20
 
 #: Bytes of text that are hashed at a time.
 _CHUNK = 1 << 21
@@ -235,9 +237,48 @@ def _compare(group: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"])
 
 
+def deal(active: DataFrame, sets: DataFrame, bucket_rows: int, bucket_shingles: int
+         ) -> DataFrame:
+    """``key, block, way, id, component, is_open``: the members of open buckets, dealt
+    into tasks in which every member outside a bucket's largest component meets every
+    other member once or more.
+
+    A block, like a way, holds about ``bucket_rows`` members or ``bucket_shingles``
+    shingles, whichever is less, so long texts share a task with few others. A bucket
+    within both limits is one task.
+    """
+    known = active.join(sets.select("id", F.col("n").alias("words")), "id")
+    most = (known.groupBy("key", "component")
+            .agg(F.count("id").alias("k"), F.sum("words").alias("w"))
+            .groupBy("key").agg(
+                F.max_by(F.struct("component", "k", "w"), F.struct("k", "component"))
+                .alias("giant"), F.sum("w").alias("words_of_key")))
+    known = known.join(most, "key").withColumn(
+        "is_open", F.col("component") != F.col("giant.component"))
+
+    def pieces(members: Column, words: Column) -> Column:
+        return F.greatest(F.ceil(members / F.lit(bucket_rows)),
+                          F.ceil(words / F.lit(bucket_shingles))).cast("int")
+
+    # Every open member meets every block of members; small buckets are one block.
+    blocks = pieces(F.col("n"), F.col("words_of_key"))
+    ways = pieces(F.col("n") - F.col("giant.k"), F.col("words_of_key") - F.col("giant.w"))
+    told = known.withColumns({"blocks": blocks, "ways": ways}).withColumns({
+        "block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"),
+        "own": F.pmod(F.xxhash64(F.lit(2), "id"), F.col("ways")).cast("int")})
+    as_member = (told.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+                 .withColumn("is_open", F.col("is_open") & (F.col("way") == F.col("own"))))
+    as_open = (told.filter("is_open AND blocks > 1").withColumn("way", F.col("own"))
+               .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+               .filter("_b <> block").withColumn("block", F.col("_b")))
+    names = ["key", "block", "way", "id", "component", "is_open"]
+    return as_member.select(*names).unionByName(as_open.select(*names))
+
+
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
          limit: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-         bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+         bucket_rows: int = BUCKET_ROWS,
+         bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` holds for that
@@ -286,24 +327,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         .groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
     active = cut(named.join(open_, "key"))
     if active.limit(1).count():
-        of = active.groupBy("key", "component").agg(F.count("id").alias("k"))
-        most = cut(of.groupBy("key").agg(F.max_by("component", F.struct("k", "component"))
-                                         .alias("giant"), F.max("k").alias("k")))
-        known = active.join(most, "key").withColumn("is_open", F.col("component") != F.col("giant"))
-        # Every open member meets every block of members; small buckets are one block.
-        blocks = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
-        ways = F.ceil((F.col("n") - F.col("k")) / F.lit(bucket_rows)).cast("int")
-        block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        way = F.pmod(F.xxhash64(F.lit(2), "id"), ways).cast("int")
-        told = known.withColumns({"blocks": blocks, "ways": ways, "block": block, "way": way})
-        as_member = told.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))) \
-            .withColumn("is_open", F.col("is_open") & (F.col("way") == F.pmod(
-                F.xxhash64(F.lit(2), "id"), F.col("ways")).cast("int")))
-        as_open = (told.filter("is_open AND blocks > 1")
-                   .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                   .filter("_b <> block").withColumn("block", F.col("_b")).drop("_b"))
-        rows_ = as_member.unionByName(as_open.select(*as_member.columns)).select(
-            "key", "block", "way", "id", "component", "is_open")
+        rows_ = deal(active, sets, bucket_rows, bucket_shingles)
         more = cut(rows_.join(sets, "id").groupBy("key", "block", "way").applyInPandas(
             lambda g: _compare(g, limit), f"u {kind}, v {kind}").distinct())
         if more.limit(1).count():

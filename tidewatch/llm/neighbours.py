@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut
+from tidewatch.session import cut, lookup_side
 
 #: Rows that the upper splits of the tree are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -164,6 +164,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, dims: int = 8,
     Ties go to the smaller id; fewer candidates give fewer rows. Of equal vectors only
     the ``k + 1`` smallest ids can be in a result, so further ones are set aside before
     the index is built. ``confidence`` is the stopping test's probability.
+
+    Rows with one id are candidates each by itself, and never for their own id. As
+    queries they share one list: the largest products with any of them.
     """
     kind = dict(vectors.dtypes)[vec_id]
     rows = (vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"),
@@ -235,10 +238,6 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, dims: int = 8,
     part = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(int(w)) for w in ways]),
                                               F.col("cell").cast("int"))).cast("int")
     dealt = celled.withColumn("part", part if ways.max() > 1 else F.lit(0))
-    if blocks > 1:
-        dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        dealt = dealt.withColumn("block", F.lit(0))
     queries = same.filter("is_query").select(
         F.col("vec_id").alias("query_id"), "v",
         F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
@@ -261,7 +260,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, dims: int = 8,
 
     def run(visits: DataFrame) -> DataFrame:
         keys = ["cell", "part", "block"]
-        return (dealt.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(search, hit))
+        if blocks == 1:
+            there = dealt.withColumn("block", F.lit(0))
+        else:
+            # A cell is copied for those blocks of queries only that visit it.
+            visits = cut(visits)
+            there = dealt.join(lookup_side(visits.select(*keys).distinct()), ["cell", "part"])
+        return (there.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(search, hit))
 
     def visits_of(home: bool):
         def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
