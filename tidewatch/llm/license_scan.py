@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import re
 from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.licence_texts import TEXTS
 from tidewatch.session import cut
 
+#: Whole licence texts as they are published, a file for each. Fixed values.
+TEXTS = {path.stem: path.read_text(encoding="utf-8")
+         for path in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
 #: Spellings with one meaning: every left form is written as the right one. Applied to
 #: lower-case text in this order. Fixed values, from the public matching guidelines
 #: for licence texts.
