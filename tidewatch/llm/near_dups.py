@@ -247,12 +247,13 @@ def deal(active: DataFrame, sets: DataFrame, bucket_rows: int, bucket_shingles:
     shingles, whichever is less, so long texts share a task with few others. A bucket
     within both limits is one task.
     """
-    known = active.join(sets.select("id", F.col("n").alias("words")), "id")
-    most = (known.groupBy("key", "component")
-            .agg(F.count("id").alias("k"), F.sum("words").alias("w"))
-            .groupBy("key").agg(
-                F.max_by(F.struct("component", "k", "w"), F.struct("k", "component"))
-                .alias("giant"), F.sum("w").alias("words_of_key")))
+    # Both written, so that the join by key has plain exchanges and splits a large bucket.
+    known = cut(active.join(sets.select("id", F.col("n").alias("words")), "id"))
+    most = cut(known.groupBy("key", "component")
+               .agg(F.count("id").alias("k"), F.sum("words").alias("w"))
+               .groupBy("key").agg(
+                   F.max_by(F.struct("component", "k", "w"), F.struct("k", "component"))
+                   .alias("giant"), F.sum("w").alias("words_of_key")))
     known = known.join(most, "key").withColumn(
         "is_open", F.col("component") != F.col("giant.component"))
 
