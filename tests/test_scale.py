@@ -116,6 +116,24 @@ def test_decayed_profiles_against_a_fold(spark, folder):
     assert got(scope="key") == fold(data, lambda o: o[2])
 
 
+def test_ticks_of_many_scopes_are_no_broadcast(spark):
+    """600,000 ticks of 12 scopes take little room in a file, but not as rows in the driver."""
+    n = F.col("id")
+    df = spark.range(600_000).select((n % 12).alias("machine"), F.floor(n / 12).alias("tick"),
+                                     n.alias("seq"), F.lit(1.0).alias("score"))
+    got = mo.decayed_score(df, "machine", "tick", ["seq"], scope="key")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # Joined with ticks, epochs and ticks again; the ends of the scopes are few.
+    assert (plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")) == (3, 1)
+    ends = got.filter("tick = 49999").select("machine", "anomaly_score").collect()
+    value, factor, limit = 0.0, math.exp(-mo.DECAY), mo.RESET_SHARE / (1 - math.exp(-mo.DECAY))
+    for i in range(50_000):
+        value = value * factor + 1
+        value = 0.0 if i and value > limit else value
+    assert sorted((m, round(v, 6)) for m, v in ends) == [(m, round(value, 6)) for m in range(12)]
+    assert got.count() == 600_000
+
+
 def test_sampling(spark, folder):
     e = inputs.events(spark, folder, "event_id", "ts").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),

@@ -26,7 +26,7 @@ from tidewatch.operators.ordered import (
     top_per_group,
 )
 from tidewatch.operators.selection import FEW, select_ranks
-from tidewatch.session import HOT_ROWS, cut, join_safe, lookup_side
+from tidewatch.session import HOT_ROWS, cut, join_safe, join_side, lookup_side
 
 # Decay per observation, and the share of the largest possible
 # profile that raises a reset.
@@ -150,27 +150,30 @@ def decayed_score(df: DataFrame, machine: str, tick: str, order: list[str], *,
     tick_count = n_rows if small else (
         obs.groupBy("scope").agg(F.count_distinct("_tick").alias("n")).agg(F.max("n")).first()[0])
     many_ticks = tick_count > hot_rows
-    # Tick numbers per scope are the positions of the pointer chain.
+    # Tick numbers per scope are the positions of the pointer chain. Scopes may be as many
+    # as machines, so the ticks of all of them need not fit the driver.
     ticks = cut(tick_numbers(obs, "_tick", "scope", hot=many_ticks, hot_rows=hot_rows))
+    ticks_side = join_side(ticks)
     keys = ["scope", machine]
     hot = not small and has_hot_key(obs, keys, hot_rows)
-    obs = join_safe(obs, ticks, ["scope", "_tick"]).drop("_tick")
+    obs = join_safe(obs, ticks_side, ["scope", "_tick"]).drop("_tick")
     in_order = ["tick_no", *order]
     earliest = _first_passages(obs, keys, in_order, factor, limit, reach, hot, hot_rows)
     if tick_count <= block_rows:
         epochs = cut(earliest.groupBy("scope").applyInPandas(
             _epochs_group, _epochs_schema(obs)))
     else:
-        epochs = _epochs(earliest, ticks, many_ticks, hot_rows, block_rows)
-    spans = _spans(join_safe(obs, epochs, ["scope", "tick_no"]), ticks, keys, in_order, factor,
-                   hot, hot_rows)
+        epochs = cut(_epochs(earliest, ticks_side, many_ticks, hot_rows, block_rows))
+    spans = _spans(join_safe(obs, join_side(epochs), ["scope", "tick_no"]), ticks, keys, in_order,
+                   factor, hot, hot_rows)
     every = spans.select(*keys, "anomaly_score", "score",
                          F.explode(F.sequence("lo", "hi")).alias("tick_no"))
-    out = (join_safe(every, ticks, ["scope", "tick_no"])
+    out = (join_safe(every, ticks_side, ["scope", "tick_no"])
            .select("scope", F.col("_tick").alias(tick), machine, "anomaly_score", "score"))
     if carry is None:
         return out
-    return join_safe(out, carry.select("scope", tick).distinct(), ["scope", tick], "left_anti")
+    return join_safe(out, join_side(cut(carry.select("scope", tick).distinct())), ["scope", tick],
+                     "left_anti")
 
 
 def passages(add: np.ndarray, first: np.ndarray, seen: np.ndarray, factor: float, limit: float,
@@ -273,7 +276,7 @@ def _epochs(earliest: DataFrame, ticks: DataFrame, many_ticks: bool, hot_rows: i
                  .select("scope", "tick_no", (F.col("_upto") - F.col("_reset")).alias("_epoch"),
                          (F.col("_reset") == 1).alias("_is_reset")))
     ends = epochs.filter("_is_reset").select("scope", "_epoch", F.col("tick_no").alias("_reset_at"))
-    return join_safe(epochs, ends, ["scope", "_epoch"], "left")
+    return join_safe(epochs, join_side(ends), ["scope", "_epoch"], "left")
 
 
 def _spans(obs: DataFrame, ticks: DataFrame, keys: list[str], in_order: list[str], factor: float,
@@ -289,7 +292,9 @@ def _spans(obs: DataFrame, ticks: DataFrame, keys: list[str], in_order: list[str
     # The last observation of a tick stands until the machine's next tick, and is zero
     # from the reset on.
     rows = rows.filter(F.col("_next").isNull() | (F.col("_next") > F.col("tick_no")))
-    rows = join_safe(rows, ticks.groupBy("scope").agg(F.max("tick_no").alias("_end")), ["scope"])
+    # One row per scope.
+    ends = cut(ticks.groupBy("scope").agg(F.max("tick_no").alias("_end")))
+    rows = join_safe(rows, join_side(ends), ["scope"])
     until = F.coalesce(F.col("_next") - 1, F.col("_end"))
     zero_from = F.least(F.col("_reset_at"), until + 1)
     both = F.array(
@@ -308,14 +313,14 @@ def _reset_ticks(earliest: DataFrame, hot_rows: int, hot: bool,
     chunk = F.floor(F.col("tick_no") / F.lit(hot_rows)).cast("long")
     earliest = cut(earliest.withColumn("_chunk", chunk))
     back = Window.partitionBy("scope").orderBy(F.col("_chunk").desc())
-    later = (earliest.groupBy("scope", "_chunk").agg(F.min("hit").alias("_m"))
-             .select("scope", "_chunk", F.min("_m").over(
-                 back.rowsBetween(Window.unboundedPreceding, -1)).alias("_later")))
+    later = cut(earliest.groupBy("scope", "_chunk").agg(F.min("hit").alias("_m"))
+                .select("scope", "_chunk", F.min("_m").over(
+                    back.rowsBetween(Window.unboundedPreceding, -1)).alias("_later")))
     inside = (Window.partitionBy("scope", "_chunk").orderBy(F.col("tick_no").desc())
               .rowsBetween(Window.unboundedPreceding, 0))
     soonest = (earliest.withColumn("hit", F.min("hit").over(inside))
                .select("scope", "_chunk", "tick_no", "hit"))
-    soonest = (join_safe(soonest, later, ["scope", "_chunk"])
+    soonest = (join_safe(soonest, join_side(later), ["scope", "_chunk"])
                .select("scope", "tick_no", F.least("hit", "_later").alias("hit")))
     # Node t stands for "profiles start in tick t": they reset at hit(t) and the
     # next start is the tick after.
