@@ -15,7 +15,7 @@ from tidewatch.operators import outlier as mo
 from tidewatch.operators import trending as tt
 from tidewatch.operators.chain import follow_chain
 from tidewatch.operators.ordered import bounded_frame, running
-from tidewatch.plans import inputs
+from tidewatch.plans import flows, inputs
 from tidewatch.session import is_small, lookup_side
 
 FEW = 40
@@ -134,6 +134,33 @@ def test_ticks_of_many_scopes_are_no_broadcast(spark):
     assert got.count() == 600_000
 
 
+@pytest.mark.parametrize("n, hot_rows", [(1, 10**6), (4, 10**6), (4, 150)])
+def test_leading_counts(spark, n, hot_rows):
+    """Words that are often there, some seldom or null, many with equal counts."""
+    draw = random.Random(n)
+    data = [(draw.randrange(-300, 900), draw.choice(["a", "b", "c"] + [f"w{draw.randrange(60)}"] * 3 + [None]))
+            for _ in range(3000)]
+    data += [(t, w) for w in ("steady", "calm") for t in range(-100, 500, 7)] + [(5000, "late"), (None, "a")]
+    df = spark.createDataFrame(data, "t long, word string").select(
+        F.timestamp_seconds("t").alias("ts"), "word")
+    args, cols = (df, "ts", "word", 60, 2), ["window_start", "window_end", "word", "count"]
+    every = tt.rolling_counts(*args)
+    led = tt.leading_counts(*args, n, hot_rows=hot_rows)
+    assert rows(tt.total_topn(led, n), *cols, "rank") == rows(tt.total_topn(every, n), *cols, "rank")
+    assert led.exceptAll(every).count() == 0
+    assert led.count() < every.count() / 2
+
+
+def test_trending_topics_spreads_no_trailing_words(spark):
+    """Of 2,000 words that come at one time each, few are repeated for 150 windows."""
+    posts = spark.range(2000).select(
+        F.timestamp_seconds(F.lit(0)).alias("ts"), F.format_string("#w%04d", "id").alias("text"))
+    got = flows.trending_topics(posts, "ts", "text", n=3).cache()
+    assert got.count() == 150 * 3
+    assert {r["word"] for r in got.collect()} == {"#w0000", "#w0001", "#w0002"}
+    assert tt.leading_counts(tt.extract_topics(posts, "text"), "ts", "word", n=3).count() < 100 * 2000
+
+
 def test_sampling(spark, folder):
     e = inputs.events(spark, folder, "event_id", "ts").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"),

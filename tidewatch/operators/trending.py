@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import floor_div, from_micros, hash_shard, split_nonempty, to_micros
 from tidewatch.operators.ordered import bounded_frame, running, top_per_group
-from tidewatch.session import HOT_ROWS, cut
+from tidewatch.session import BROADCAST_ROWS, HOT_ROWS, cut, is_small
 
 MICROS = 1_000_000
 
@@ -40,6 +40,16 @@ def rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: in
     is shuffled twice, not once per window. With ``zeros`` a word that leaves the
     window is emitted once more with count 0.
     """
+    spans = _count_spans(df, ts, word, size, slide, hot, hot_rows)
+    if not zeros:
+        spans = spans.filter(F.col("count") > 0)
+    return _windows(spans, "lo", "hi", size, slide)
+
+
+def _count_spans(df: DataFrame, ts: str, word: str, size: int, slide: int, hot: bool | None,
+                 hot_rows: int) -> DataFrame:
+    """``(word, count, earlier, later, lo, hi)``: a count that stands in the windows ``lo``
+    to ``hi``, and those before and after it."""
     if size // slide < 2:
         raise ValueError("the window must span at least two slides")
     us, step = to_micros(F.col(ts)), slide * MICROS
@@ -55,17 +65,61 @@ def rolling_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: in
         hot = many_slides(df, ts, size, slide, hot_rows)
     kw = {"hot": hot, "hot_rows": hot_rows}
     counts = running(steps, ["word"], ["idx"], {"count": F.col("d")}, **kw)
-    spans = bounded_frame(counts, ["word"], ["idx"], {"until": lambda w: F.first("idx").over(
-        w.rowsBetween(1, 1))}, before=0, after=1, **kw)
-    if not zeros:
-        spans = spans.filter(F.col("count") > 0)
+    spans = bounded_frame(counts, ["word"], ["idx"], {
+        "until": lambda w: F.first("idx").over(w.rowsBetween(1, 1)),
+        "later": lambda w: F.first("count").over(w.rowsBetween(1, 1))}, before=0, after=1, **kw)
     last = F.when(F.col("count") > 0, F.col("until") - 1).otherwise(F.col("idx"))
-    out = spans.select("word", "count", F.explode(F.sequence("idx", last)).alias("idx"))
+    return spans.select("word", "count", (F.col("count") - F.col("d")).alias("earlier"), "later",
+                        F.col("idx").alias("lo"), last.alias("hi"))
+
+
+def _windows(spans: DataFrame, lo: str, hi: str, size: int, slide: int) -> DataFrame:
+    """One row per window of each span."""
+    step = slide * MICROS
+    out = spans.select("word", "count", F.explode(F.sequence(lo, hi)).alias("idx"))
     return out.select(from_micros(F.col("idx") * step).alias("window_start"),
-                      from_micros(F.col("idx") * step + width).alias("window_end"),
+                      from_micros(F.col("idx") * step + size // slide * step).alias("window_end"),
                       "word", "count")
 
 
+def leading_counts(df: DataFrame, ts: str, word: str, size: int = 300, slide: int = 2,
+                   n: int = 10, *, hot: bool | None = None,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rolling_counts`` without most rows that are not among the top ``n`` of their window,
+    equal counts by word; all that are among them are there.
+
+    Windows are taken in blocks of a third of the width. If ``n`` words last through a
+    block, the top rows of its windows are none that come after the ``n``-th of these
+    words by their least counts. So a span that does is left out in that block before
+    it is repeated for each window.
+    """
+    length = max(size // slide // 3, 1)
+    spans = cut(_count_spans(df, ts, word, size, slide, hot, hot_rows).filter(F.col("count") > 0))
+    start = F.col("block") * length
+    end = start + (length - 1)
+    pieces = spans.withColumn("block", F.explode(F.sequence(
+        floor_div(F.col("lo"), length), floor_div(F.col("hi"), length)))).withColumns({
+            "lo": F.greatest("lo", start), "hi": F.least("hi", end)})
+    n_windows = F.col("hi") - F.col("lo") + 1
+    alone = pieces.filter(n_windows == length).select("block", "word", F.col("count").alias("least"))
+    # Pieces next to a window without the word cannot be part of a whole block.
+    shared = (pieces.filter((n_windows < length)
+                            & ((F.col("lo") == start) | (F.col("earlier") > 0))
+                            & ((F.col("hi") == end) | (F.col("later") > 0)))
+              .groupBy("block", "word").agg(F.min("count").alias("least"),
+                                            F.sum(n_windows).alias("n_windows"))
+              .filter(F.col("n_windows") == length).drop("n_windows"))
+    bounds = cut(top_per_group(alone.unionByName(shared), ["block"],
+                               [F.col("least").desc(), F.col("word").asc()], n)
+                 .filter(F.col("rank") == n).select("block", "least", F.col("word").alias("last")))
+    few = is_small(bounds, BROADCAST_ROWS)
+    bounded = pieces.join(F.broadcast(bounds) if few else bounds.hint("merge"), "block", "left")
+    count, least = F.col("count"), F.col("least")
+    leads = (least.isNull() | (count > least)
+             | ((count == least) & F.coalesce(F.col("word") <= F.col("last"), F.lit(True))))
+    return _windows(bounded.filter(leads), "lo", "hi", size, slide)
+
+
 def prune_zero(df: DataFrame, count: str = "count") -> DataFrame:
     return df.filter(F.col(count) > 0)
 

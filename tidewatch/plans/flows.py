@@ -33,12 +33,12 @@ def log_branches(log: DataFrame, geo: DataFrame, order: list[str], *,
 
 
 def trending_topics(posts: DataFrame, ts: str, text: str, *, size: int = 300, slide: int = 2,
-                    n: int = 10, shards: int = 8) -> DataFrame:
+                    n: int = 10) -> DataFrame:
     """Top topics of every window: ``(window_end, rank, word, count)``."""
     words = trending.extract_topics(posts.select(ts, text), text)
     hot = trending.many_slides(posts, ts, size, slide)
-    counts = trending.rolling_counts(words, ts, "word", size, slide, hot=hot)
-    top = trending.total_topn(trending.partial_topn(counts, n, shards), n)
+    counts = trending.leading_counts(words, ts, "word", size, slide, n, hot=hot)
+    top = trending.total_topn(counts, n)
     return top.select("window_end", "rank", "word", "count")
 
 
